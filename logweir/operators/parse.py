@@ -3,8 +3,15 @@
 ``parse_syslog`` is a chain of plain projections. Each step names the values the next one uses more
 than once, so Catalyst keeps the steps apart and nothing is evaluated twice. The steps stay small
 enough for the JVM to compile the one fused method they become.
+
+The record leaves the chain through ``inline``, as the one row a table function yields per datagram.
+A filter on parsed fields therefore runs on the finished record; without that, Catalyst would copy
+the whole chain into the filter once per use. Columns a query does not need are left out by naming
+the wanted ones.
 """
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +53,8 @@ def with_pri(df: DataFrame, view: str) -> DataFrame:
     return staged.withColumn("pri", pri).drop("_digits", "_value")
 
 
-def parse_syslog(datagrams: DataFrame) -> DataFrame:
-    """(seq, rcv, src, payload) rows to parsed records; other input columns are dropped."""
+def parse_syslog(datagrams: DataFrame, columns: Iterable[str] = PARSED_COLUMNS) -> DataFrame:
+    """(seq, rcv, src, payload) rows to records with the wanted ``columns``."""
     c = F.col
     flagged = datagrams.select("seq", "rcv", "src", "payload", is_utf8(c("payload")).alias("_ok"))
     # Header delimiters are ASCII and a damaged sequence never spans one, so repairing the whole
@@ -135,7 +142,8 @@ def parse_syslog(datagrams: DataFrame) -> DataFrame:
         _name(fixed.FACILITY_NAMES, c("facility_code")).alias("facility"),
         _name(fixed.SEVERITY_NAMES, c("severity_code")).alias("severity"),
     )
-    return named.select(*PARSED_COLUMNS)
+    record = F.struct(*[c(name) for name in columns])
+    return named.select(F.inline(F.array(record)))
 
 
 def jsonl_line(rcv: Column | None = None) -> Column:
@@ -146,5 +154,5 @@ def jsonl_line(rcv: Column | None = None) -> Column:
 
 
 def to_jsonl(parsed: DataFrame) -> DataFrame:
-    """Parsed rows plus ``line``, their JSONL text."""
-    return parsed.withColumn("line", jsonl_line())
+    """Parsed rows plus ``line``, their JSONL text, built once however often it is filtered on."""
+    return parsed.select("*", F.inline(F.array(F.struct(jsonl_line().alias("line")))))

@@ -60,6 +60,6 @@ def search_numbered(
 def facet(rows: DataFrame, column: Column | None = None, counts: bool = False) -> DataFrame:
     """Distinct facility labels present, sorted; with their row counts on request."""
     label = facility_label(F.col("facility")) if column is None else column
-    grouped = rows.groupBy(label.alias("label"))
-    found = grouped.agg(F.count("*").alias("n")) if counts else grouped.agg()
+    labels = rows.select(label.alias("label"))
+    found = labels.groupBy("label").agg(F.count("*").alias("n")) if counts else labels.distinct()
     return found.orderBy("label")

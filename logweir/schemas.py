@@ -32,3 +32,27 @@ FORWARD_RULE = T.StructType([
     T.StructField("facility_spec", T.StringType()),
     T.StructField("max_message_size", T.IntegerType()),
 ])
+
+# A stored log row; the table is partitioned by its last two columns.
+LOG = T.StructType([
+    T.StructField("seq", T.LongType()),
+    T.StructField("rcv", T.TimestampType()),
+    T.StructField("src", T.StringType()),
+    T.StructField("raw", T.BinaryType()),
+    T.StructField("proto", T.StringType()),
+    T.StructField("pri", T.IntegerType()),
+    T.StructField("facility_code", T.IntegerType()),
+    T.StructField("severity_code", T.IntegerType()),
+    T.StructField("version", T.IntegerType()),
+    *[
+        T.StructField(name, T.StringType())
+        for name in ("facility", "severity", "hostname", "app", "pid", "msgid", "msg_time",
+                     "message", "line")
+    ],
+    T.StructField("text_bytes", T.LongType()),
+    T.StructField("json_bytes", T.LongType()),
+    T.StructField("nbytes", T.LongType()),
+    T.StructField("pos", T.LongType()),
+    T.StructField("sink", T.StringType()),
+    T.StructField("generation", T.LongType()),
+])

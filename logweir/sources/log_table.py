@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logweir.functions import fixed
 from logweir.functions.predicates import LogFilter
 from logweir.operators import paging, search
+from logweir.sources.sinks import read_logs
 
 
 class LogTable:
@@ -16,7 +17,7 @@ class LogTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, sink: str):
-        self.rows = spark.read.parquet(path).filter(F.col("sink") == sink)
+        self.rows = read_logs(spark, path).filter(F.col("sink") == sink)
 
     def _range(self) -> tuple[int, int] | None:
         ends = self.rows.agg(

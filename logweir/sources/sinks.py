@@ -5,15 +5,11 @@ from pyspark.sql import functions as F
 
 from logweir.functions.text import octets, sanitize_utf8
 from logweir.operators.parse import to_jsonl
+from logweir.operators.segments import generation_name
+from logweir.schemas import LOG
 
 FILE_BYTES = 256 << 20  # most bytes of one segment written by one task
 
-LOG_COLUMNS = (
-    "seq", "rcv", "src", "raw", "proto", "pri", "facility_code", "severity_code", "version",
-    "facility", "severity", "hostname", "app", "pid", "msgid", "msg_time", "message", "line",
-    "text_bytes", "json_bytes", "nbytes", "pos",
-)
-
 
 def to_logs(routed: DataFrame) -> DataFrame:
     """Routed records plus ``line``, ``nbytes`` and the bytes each adds to its two outputs.
@@ -68,12 +64,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_logs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The queried form: parquet per sink and generation, sorted by position inside each file."""
-    rows = df.select("sink", "generation", *[c for c in LOG_COLUMNS if c in df.columns])
-    _clustered(rows, ["sink", "generation"], "pos").write.mode(mode).partitionBy(
+    _clustered(df.select(*LOG.names), ["sink", "generation"], "pos").write.mode(mode).partitionBy(
         "sink", "generation"
     ).parquet(path)
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The log table written by :func:`write_logs`."""
+    return spark.read.schema(LOG).parquet(path)
+
+
 def deliver(forwards: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Forwarded payloads as parquet, a folder per target."""
     forwards.write.mode(mode).partitionBy("target").parquet(path)
@@ -84,14 +84,10 @@ def drop_expired(spark: SparkSession, path: str, routes: DataFrame) -> int:
 
     Works on the folder listing: partitions, not rows.
     """
-    from logweir.operators.segments import generation_name
-
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stored = spark.read.parquet(path).select(
-        F.col("sink").cast("string"), F.col("generation").cast("long")
-    ).distinct()
+    stored = read_logs(spark, path).select("sink", "generation").distinct()
     expired = generation_name(stored).join(
         F.broadcast(routes.select("sink", "max_files")), "sink"
     ).filter((F.col("max_files") > 0) & (F.col("age") > F.col("max_files")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweir.functions import fixed
 from logweir.functions.predicates import LogFilter, all_of, message_filter, since
 from logweir.operators.views import format_line
+from logweir.schemas import LOG
 from logweir.sources.chain import parse_jsonl
 
 
@@ -32,7 +33,7 @@ def follow_table(
 
     ``from_pos`` set to the log's current tail offset starts at the end, without history.
     """
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(LOG)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path).filter(all_of(F.col("sink") == sink, since(from_pos)))

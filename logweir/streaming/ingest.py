@@ -14,7 +14,7 @@ from logweir.operators.positions import with_positions
 from logweir.operators.routing import forward, route
 from logweir.operators.segments import assign_generations
 from logweir.session import materialize
-from logweir.sources.sinks import deliver, to_logs, write_jsonl, write_logs
+from logweir.sources.sinks import deliver, read_logs, to_logs, write_jsonl, write_logs
 
 STATE = "sink string, text_bytes long, json_bytes long, generation long, total long"
 
@@ -77,9 +77,7 @@ def write_batch(
     before = _previous_state(spark, out, batch)
     cut = segment_batch(logs, routes, before)
     write_logs(cut, f"{out}/logs/batch={batch}")
-    written = spark.read.parquet(f"{out}/logs/batch={batch}").withColumn(
-        "sink", F.col("sink").cast("string")
-    )
+    written = read_logs(spark, f"{out}/logs/batch={batch}")
     if jsonl:
         write_jsonl(written, f"{out}/jsonl/batch={batch}")
     _next_state(written, before).write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
@@ -100,7 +98,7 @@ def start_ingest(
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     """All log rows written so far."""
-    return spark.read.parquet(f"{out}/logs").withColumn("sink", F.col("sink").cast("string"))
+    return read_logs(spark, f"{out}/logs")
 
 
 def start_forward(
