@@ -40,7 +40,7 @@ _TABLE = (
     "sink string, node long, entry_text long, entry_json long, exit_text long, exit_json long, "
     "starts long"
 )
-_STATE = "sink string, node long, exit_text long, exit_json long, starts long"
+_STATE = "owner string, node long, exit_text long, exit_json long, starts long"
 _MARKS = "sink string, fine long, first_generation long, cuts array<long>"
 
 
@@ -126,7 +126,7 @@ def _hand_down(key: tuple, tables: pd.DataFrame, state: pd.DataFrame) -> pd.Data
     for node, table in _children(tables):
         rows.append((key[0], node, int(at_text[0]), int(at_json[0]), int(starts[0])))
         at_text, at_json, starts = _advance(table, at_text, at_json, starts)
-    return pd.DataFrame(rows, columns=["sink", "node", "exit_text", "exit_json", "starts"])
+    return pd.DataFrame(rows, columns=["owner", "node", "exit_text", "exit_json", "starts"])
 
 
 def _mark(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -193,8 +193,9 @@ def exact_cuts(rows: DataFrame, carry: DataFrame | None = None, fan_in: int = FA
         since = [F.coalesce(c, F.lit(0)) for c in ("text_bytes", "json_bytes", "generation")]
     else:
         since = [F.lit(0)] * 3
+    # A name of its own keeps the cogroups below from mixing up the two sides.
     state = opened.select(
-        "sink", "node",
+        F.col("sink").alias("owner"), "node",
         (F.col("max_bytes") - since[0]).cast("long").alias("exit_text"),
         (F.col("max_bytes") - since[1]).cast("long").alias("exit_json"),
         since[2].cast("long").alias("starts"),
@@ -202,10 +203,10 @@ def exact_cuts(rows: DataFrame, carry: DataFrame | None = None, fan_in: int = FA
     for table in reversed(tables):
         parents = table.withColumn("parent", F.expr(f"node DIV {fan_in}"))
         state = parents.groupBy("sink", "parent").cogroup(
-            state.groupBy("sink", "node")
+            state.groupBy("owner", "node")
         ).applyInPandas(_hand_down, _STATE)
     return (
-        rows.groupBy("sink", "leaf").cogroup(state.groupBy("sink", "node"))
+        rows.groupBy("sink", "leaf").cogroup(state.groupBy("owner", "node"))
         .applyInPandas(_mark, _MARKS)
     )
 
