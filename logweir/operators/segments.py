@@ -222,9 +222,12 @@ def _sizes(df: DataFrame) -> DataFrame:
 def assign_generations(
     df: DataFrame, max_bytes: int | Column | None = None, carry: DataFrame | None = None,
     exact: bool = True, block_bytes: int = BLOCK_BYTES, fan_in: int = FAN_IN,
+    sums: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``generation``, the number of the segment a row is written to, per ``sink``.
 
+    ``sums`` names further running sums to add from the same shuffle, such as the position.
+
     ``df`` has sink, seq and the bytes each row adds to the text and JSONL outputs (``text_bytes``,
     ``json_bytes``). ``max_bytes`` is a number or a per-sink column; null is one endless segment.
     ``exact=False`` cuts at multiples of the limit instead: one projection after the running sums,
@@ -233,8 +236,10 @@ def assign_generations(
     limit = F.lit(max_bytes) if max_bytes is None or isinstance(max_bytes, int) else max_bytes
     given = df.columns
     sized = _sizes(df).withColumn("max_bytes", limit.cast("long"))
+    sums = sums or {}
+    given = [*given, *sums]
     placed = running_sums(
-        sized, {"text_pos": "text_bytes", "json_pos": "json_bytes"}, ["sink"], "seq"
+        sized, {"text_pos": "text_bytes", "json_pos": "json_bytes", **sums}, ["sink"], "seq"
     )
     if not exact:
         furthest = F.greatest("text_pos", "json_pos")

@@ -80,7 +80,7 @@ def routed_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of every sink with line and sizes."""
     rules = routes(spark)
     flags = rules.select("sink", "write_text", "write_jsonl")
-    fanned = route(parsed(spark, sf), rules).join(F.broadcast(flags), "sink")
+    fanned = route(to_jsonl(parsed(spark, sf)), rules).join(F.broadcast(flags), "sink")
     return to_logs(fanned).drop("write_text", "write_jsonl")
 
 

@@ -16,7 +16,7 @@ def to_logs(routed: DataFrame) -> DataFrame:
 
     An output a sink does not write (``write_text``, ``write_jsonl``) adds nothing.
     """
-    lines = to_jsonl(routed)
+    lines = routed if "line" in routed.columns else to_jsonl(routed)
     sized = lines.withColumn("nbytes", octets(F.col("line")))
     text = octets(F.col("raw"))
 

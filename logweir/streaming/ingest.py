@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logweir.operators.parse import parse_syslog
-from logweir.operators.positions import with_positions
+from logweir.operators.parse import parse_syslog, to_jsonl
 from logweir.operators.routing import forward, route
 from logweir.operators.segments import assign_generations
 from logweir.session import materialize
@@ -52,8 +51,9 @@ def segment_batch(
         F.broadcast(routes.select("sink", F.col("max_bytes").alias("_limit"))), "sink"
     )
     carry = None if before is None else before.drop("total")
-    cut = assign_generations(limited, F.col("_limit"), carry, exact)
-    placed = with_positions(cut, ["sink"])
+    placed = assign_generations(
+        limited, F.col("_limit"), carry, exact, sums={"pos": "nbytes"}
+    )
     if before is None:
         return placed.drop("_limit")
     base = before.select("sink", F.col("total").alias("_base"), F.col("generation").alias("_open"))
@@ -70,7 +70,8 @@ def write_batch(
 ) -> None:
     """Parse, route, segment and write one batch."""
     spark = datagrams.sparkSession
-    routed = route(parse_syslog(datagrams), routes).join(
+    # The line is built once per message, before the fan-out; routing rules are one row per sink.
+    routed = route(to_jsonl(parse_syslog(datagrams)), routes).join(
         F.broadcast(routes.select("sink", "write_text", "write_jsonl")), "sink"
     )
     logs = materialize(to_logs(routed).drop("write_text", "write_jsonl"), "batch-logs")
