@@ -31,9 +31,10 @@ from logweir.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FAN_IN = 16
+FOLD_BYTES = 2 << 30       # log bytes the entries folded by one task may stand for
 FINE_LIMITS = 16           # a fine block spans this many limits,
 FINE_FLOOR = 64 * 1024     # but never less than this many bytes
-BLOCK_BYTES = 256 << 20    # bytes of text and JSONL together in one leaf block
+BLOCK_BYTES = 256 << 20    # and never more than a leaf block: text and JSONL bytes together
 BROADCAST_FINE_BLOCKS = 200_000
 
 _TABLE = (
@@ -154,7 +155,9 @@ def _mark(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def exact_cuts(rows: DataFrame, carry: DataFrame | None = None, fan_in: int = FAN_IN) -> DataFrame:
+def exact_cuts(
+    rows: DataFrame, carry: DataFrame | None = None, fan_in: int | None = None
+) -> DataFrame:
     """(sink, fine, first_generation, cuts) for rows of bounded logs.
 
     ``rows`` has sink, text_pos, json_pos, max_bytes, fine and leaf; ``carry`` the state to continue
@@ -170,7 +173,9 @@ def exact_cuts(rows: DataFrame, carry: DataFrame | None = None, fan_in: int = FA
         return table.assign(sink=key[0], node=key[1])[[c.split()[0] for c in _TABLE.split(", ")]]
 
     limits = rows.groupBy("sink").agg(F.first("max_bytes").alias("max_bytes"))
-    depth_of = rows.agg(F.max("leaf")).first()[0]
+    depth_of, longest = rows.agg(F.max("leaf"), F.max("max_bytes")).first()
+    # A child's table covers at most one limit, so long segments are folded fewer at a time.
+    fan_in = fan_in or max(2, min(FAN_IN, FOLD_BYTES // (longest or 1)))
     if depth_of is not None and depth_of > 0:
         level = rows.select("sink", "leaf", "text_pos", "json_pos", "max_bytes").groupBy(
             "sink", "leaf"
@@ -221,7 +226,7 @@ def _sizes(df: DataFrame) -> DataFrame:
 
 def assign_generations(
     df: DataFrame, max_bytes: int | Column | None = None, carry: DataFrame | None = None,
-    exact: bool = True, block_bytes: int = BLOCK_BYTES, fan_in: int = FAN_IN,
+    exact: bool = True, block_bytes: int = BLOCK_BYTES, fan_in: int | None = None,
     sums: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``generation``, the number of the segment a row is written to, per ``sink``.
@@ -247,8 +252,11 @@ def assign_generations(
         return placed.select(*given, F.coalesce(cut, F.lit(0)).alias("generation"))
 
     place = F.col("text_pos") + F.col("json_pos")
-    fine = F.greatest(F.col("max_bytes") * FINE_LIMITS, F.lit(FINE_FLOOR))
-    fines_per_leaf = F.greatest(F.lit(1).cast("long"), F.expr(f"CAST({block_bytes} AS BIGINT)") / fine)
+    fine = F.greatest(
+        F.least(F.col("max_bytes"), F.lit(block_bytes)) * FINE_LIMITS, F.lit(FINE_FLOOR)
+    )
+    fine = F.least(fine, F.greatest(F.lit(block_bytes), F.lit(FINE_FLOOR)))
+    fines_per_leaf = F.greatest(F.lit(1).cast("long"), F.lit(block_bytes).cast("long") / fine)
     cut_rows = placed.withColumn("fine", F.floor(place / fine)).withColumn(
         "_leaf", F.floor(F.col("fine") / F.floor(fines_per_leaf))
     )

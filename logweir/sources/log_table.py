@@ -13,21 +13,29 @@ class LogTable:
     """One sink of a stored log table.
 
     A page is looked for in the nearest segments first and in four times as many after each miss,
-    so its cost follows the distance to the last row it returns, not the size of the log.
+    so its cost follows the distance to the last row it returns, not the size of the log. Where a
+    page starts is looked up in ``segments`` (sink, generation, start), the small table ingest keeps;
+    without it the positions of the log itself are read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, sink: str):
+    def __init__(
+        self, spark: SparkSession, path: str, sink: str, segments: DataFrame | None = None
+    ):
         self.rows = read_logs(spark, path).filter(F.col("sink") == sink)
+        self._starts = (
+            self.rows.select("generation", F.col("pos").alias("start")) if segments is None
+            else segments.filter(F.col("sink") == sink).select("generation", "start")
+        )
 
     def _range(self) -> tuple[int, int] | None:
-        ends = self.rows.agg(
+        ends = self._starts.agg(
             F.min("generation").alias("lo"), F.max("generation").alias("hi")
         ).first()
         return None if ends.lo is None else (ends.lo, ends.hi)
 
     def _containing(self, pos: int) -> int | None:
-        """Newest generation with a line starting at or before ``pos`` (row-group statistics)."""
-        return self.rows.filter(F.col("pos") <= pos).agg(F.max("generation")).first()[0]
+        """Newest generation with a line starting at or before ``pos``."""
+        return self._starts.filter(F.col("start") <= pos).agg(F.max("generation")).first()[0]
 
     def _grow(self, lo: int, hi: int, count: int, newest: bool, page) -> DataFrame:
         span = 1

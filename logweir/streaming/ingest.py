@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logweir.operators.parse import parse_syslog, to_jsonl
+from logweir.operators.positions import segment_table
 from logweir.operators.routing import forward, route
 from logweir.operators.segments import assign_generations
-from logweir.session import materialize
+from logweir.session import materialize, scratch_scope
 from logweir.sources.sinks import deliver, read_logs, to_logs, write_jsonl, write_logs
 
 STATE = "sink string, text_bytes long, json_bytes long, generation long, total long"
@@ -69,6 +70,13 @@ def write_batch(
     datagrams: DataFrame, batch: int, routes: DataFrame, out: str, jsonl: bool = True
 ) -> None:
     """Parse, route, segment and write one batch."""
+    with scratch_scope(datagrams.sparkSession):
+        _write_batch(datagrams, batch, routes, out, jsonl)
+
+
+def _write_batch(
+    datagrams: DataFrame, batch: int, routes: DataFrame, out: str, jsonl: bool
+) -> None:
     spark = datagrams.sparkSession
     # The line is built once per message, before the fan-out; routing rules are one row per sink.
     routed = route(to_jsonl(parse_syslog(datagrams)), routes).join(
@@ -81,9 +89,19 @@ def write_batch(
     written = read_logs(spark, f"{out}/logs/batch={batch}")
     if jsonl:
         write_jsonl(written, f"{out}/jsonl/batch={batch}")
+    segment_table(written, ["sink"]).write.mode("overwrite").parquet(
+        f"{out}/segments/batch={batch}"
+    )
     _next_state(written, before).write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
 
 
+def read_segments(spark: SparkSession, out: str) -> DataFrame:
+    """Start, size and line count of every segment part written so far."""
+    return spark.read.schema(
+        "sink string, generation long, start long, size long, lines long"
+    ).parquet(f"{out}/segments")
+
+
 def start_ingest(
     stream: DataFrame, routes: DataFrame, out: str, checkpoint: str,
     trigger: dict | None = None, jsonl: bool = True,

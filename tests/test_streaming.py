@@ -1,16 +1,19 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.operators import paging
 from logweir.operators.parse import parse_syslog
 from logweir.operators.routing import forward, route
 from logweir.schemas import DATAGRAM, FORWARD_RULE, ROUTE
 from logweir.sources.datagrams import read_datagrams, stream_datagrams
+from logweir.sources.log_table import LogTable
 from logweir.sources.sinks import read_logs, to_logs
 from logweir.streaming.follow import follow, follow_log, follow_table
 from logweir.streaming.ingest import (
-    read_ingested, segment_batch, start_forward, start_ingest, write_batch,
+    read_ingested, read_segments, segment_batch, start_forward, start_ingest, write_batch,
 )
 
 NOW = datetime.datetime(2026, 1, 2, 3, 4, 5)
@@ -55,6 +58,16 @@ def test_ingest_in_batches_equals_one_batch(spark, tmp_path):
     assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1, 2}
     assert got.filter("sink = 'all'").agg(F.max("generation")).first()[0] > 5
 
+    # Pages of the ingested table, located by the small segment table.
+    logs = read_ingested(spark, out).filter("sink = 'all'")
+    table = LogTable(spark, f"{out}/logs", "all", read_segments(spark, out))
+    seqs = lambda df: [r.seq for r in df.collect()]
+    assert seqs(table.tail(25)) == seqs(paging.tail(logs, 25)) == list(range(145, 170))
+    assert seqs(table.forward(3_000, 9)) == seqs(paging.read_forward(logs, 3_000, 9))
+    assert seqs(table.backward(9_000, 9)) == seqs(paging.read_backward(logs, 9_000, 9))
+    scratch = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    assert not [f for f in os.listdir(scratch) if f.startswith("scope-")]
+
     # A batch that runs again leaves the same table.
     write_batch(read_datagrams(spark, landing).filter("seq >= 100"), 2, rules(spark), out)
     assert key(read_ingested(spark, out)) == want
