@@ -35,8 +35,8 @@ FROM e
 
 _DOCUMENTS = """
 SELECT doc_id AS seq, TIMESTAMP '2026-01-01 00:00:00' AS rcv, source AS src,
-  CAST('<' || CAST((doc_id * 13) % 192 AS STRING) || '>1 - ' || source || ' ' || lang || ' '
-    || CAST(doc_id AS STRING) || ' - ' || text AS BINARY) AS payload
+  encode('<' || CAST((doc_id * 13) % 192 AS STRING) || '>1 - ' || source || ' ' || lang || ' '
+    || CAST(doc_id AS STRING) || ' - ' || text, :charset) AS payload
 FROM {documents}
 """
 
@@ -57,8 +57,11 @@ def event_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_EVENTS, events=_table(spark, sf_dir, "events"))
 
 
-def document_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_DOCUMENTS, documents=_table(spark, sf_dir, "documents"))
+def document_datagrams(spark: SparkSession, sf_dir: str, charset: str = "UTF-8") -> DataFrame:
+    """Documents as a sender using ``charset`` puts them on the wire."""
+    return spark.sql(
+        _DOCUMENTS, args={"charset": charset}, documents=_table(spark, sf_dir, "documents")
+    )
 
 
 def conversation_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:

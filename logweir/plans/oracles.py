@@ -57,6 +57,10 @@ dg AS (
       || CAST(doc_id AS VARCHAR) || ' - ' || text AS payload
   FROM documents)"""
 
+# Sent as ISO-8859-1, every accented letter is one byte that starts no well-formed sequence (the
+# letters are U+00C0-U+00FC, and no continuation byte 80-BF ever follows).
+_LATIN1_DOCUMENTS = _DOCUMENTS.replace("|| text", "|| regexp_replace(text, '[^\\x00-\\x7F]', '\ufffd', 'g')")
+
 _CONVERSATIONS = """
 dg AS (
   SELECT conv_id * 1000 + turn AS seq, TIMESTAMP '2026-01-01 00:00:00' AS rcv, role AS src,
@@ -293,6 +297,7 @@ FROM cut GROUP BY sink, generation"""
         "parse_all": _parsed(f"SELECT {_ALL} FROM p"),
         "parse_documents": _q(f"SELECT {_ALL} FROM p", _DOCUMENTS, _PARSED),
         "parse_conversations": _q(f"SELECT {_ALL} FROM p", _CONVERSATIONS, _PARSED),
+        "repair_latin1": _log("SELECT seq, app, message, nbytes FROM n", _LATIN1_DOCUMENTS),
         "pri_decode": _parsed(
             "SELECT seq, pri, facility_code, severity_code, facility, severity FROM p"
         ),

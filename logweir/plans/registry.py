@@ -246,6 +246,9 @@ def queries() -> dict[str, Query]:
     q["parse_all"] = lambda s, sf: shown(parsed(s, sf))
     q["parse_documents"] = lambda s, sf: shown(parse_syslog(document_datagrams(s, sf)))
     q["parse_conversations"] = lambda s, sf: shown(parse_syslog(conversation_datagrams(s, sf)))
+    q["repair_latin1"] = lambda s, sf: to_jsonl(
+        parse_syslog(document_datagrams(s, sf, "ISO-8859-1"))
+    ).select("seq", "app", "message", octets(F.col("line")).alias("nbytes"))
     q["pri_decode"] = lambda s, sf: parsed(
         s, sf, ("seq", "pri", "facility_code", "severity_code", "facility", "severity")
     )
