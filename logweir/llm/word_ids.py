@@ -43,20 +43,21 @@ class WordIds:
         self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = piece.encode("utf-8").decode("latin-1").translate(self.shown)
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        shown = piece.encode("utf-8").decode("latin-1").translate(self.shown)
+        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
         return ids
 
     def _ids(self, new: list[bytes]) -> list[list[int]]:
         found: list[list[int]] = [[]] * len(new)
         whole = []
+        pieces = self.pieces
         for i, raw in enumerate(new):
             word = raw.decode("utf-8")
-            if self.split and "<|" not in word and self.simple(word):
-                parts = self.split(word.lower())
-                found[i] = self._piece(parts[0]) if len(parts) == 1 else [x for p in parts for x in self._piece(p)]
+            if self.split and word.isalpha() and max(word) < "\u0130":  # letters alone are one piece
+                piece = word.lower()
+                found[i] = pieces[piece] if piece in pieces else self._piece(piece)
+            elif self.split and "<|" not in word and self.simple(word):
+                found[i] = [x for p in self.split(word.lower()) for x in (pieces[p] if p in pieces else self._piece(p))]
             else:
                 whole.append((i, word))
         for (i, _), e in zip(whole, self.tokenizer.encode_batch_fast([w for _, w in whole], add_special_tokens=False), strict=True):
