@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweir.llm.common import arrow_map, kept, rows_of, work_folder
 
@@ -104,25 +105,14 @@ def word_vectors(docs: DataFrame, folder: str) -> np.ndarray:
     return context + index_vectors() / np.float32(ENTRIES**0.5)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, features): the mean vector of a document's words, and that of its shapes; zeros if it has none."""
-    sent = docs.sparkSession.sparkContext.broadcast(vectors)  # ROWS x SIZE numbers
-    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float32()))])
-
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = Words(), sent.value
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                out = np.zeros((part.num_rows, 2 * SIZE), np.float32)
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    word, shape = words.of(text)
-                    if len(word):
-                        out[i, :SIZE], out[i, SIZE:] = table[word].mean(0), table[shape].mean(0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 2 * SIZE, np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], schema=schema)
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pool, "doc_id long, features array<float>")
+def features(texts: list[str | None], words: Words, table: np.ndarray) -> np.ndarray:
+    """The mean vector of each text's words beside that of its shapes; zeros for a text without words."""
+    out = np.zeros((len(texts), 2 * SIZE), np.float64)
+    for i, text in enumerate(texts):
+        word, shape = words.of(text)
+        if len(word):
+            out[i, :SIZE], out[i, SIZE:] = table[word].mean(0), table[shape].mean(0)
+    return out
 
 
 class Network:
@@ -159,6 +149,13 @@ class Network:
     def score(self, x: np.ndarray) -> np.ndarray:
         return _logistic(self._logits(x) / self.temperature)
 
+    @classmethod
+    def of(cls, state: dict) -> "Network":
+        """A network from the plain arrays of another, in which form it travels."""
+        own = cls.__new__(cls)
+        own.__dict__.update(state)
+        return own
+
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -173,24 +170,56 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def train(features: DataFrame, labels: DataFrame) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network | float:
     """The network, or the share of good documents where labels are missing or all alike.
 
-    Labels of held-out documents are left out before anything else; LABELLED bounds the rows that come to
-    the driver.
+    Labels of held-out documents are left out before anything else; LABELLED bounds the labels in use, and
+    so what is broadcast and what comes to the driver.
     """
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("quality")).where(
-        F.col("quality").isin(0.0, 1.0) & (_fold(F.col("label_id")) != 0)).dropDuplicates(["label_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("double").alias("label")).where(
+        F.col("label").isin(0.0, 1.0) & (_fold(F.col("label_id")) != 0)).dropDuplicates(["label_id"])
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED)
-    rows = features.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select(
-        "label_id", "quality", "features", _fold(F.col("label_id")).alias("fold")).orderBy("label_id", "features").limit(2 * LABELLED).collect()
+    named = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text").join(
+        F.broadcast(known), F.col("own_id") == F.col("label_id")).select("own_id", "label", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)  # ROWS x SIZE numbers
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            found = features(batch.column(2).to_pylist(), words, sent.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, 2 * SIZE, np.int32)), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["own_id", "label", "features"])
+
+    rows = arrow_map(named, pool, "own_id long, label double, features array<double>")
+    rows = rows.orderBy("own_id", "features").limit(2 * LABELLED).withColumn("fold", _fold(F.col("own_id"))).collect()
     x = np.array([r["features"] for r in rows], np.float64).reshape(len(rows), 2 * SIZE)
-    y, check = np.array([r["quality"] for r in rows]), np.array([r["fold"] == 1 for r in rows], bool)
+    y, check = np.array([r["label"] for r in rows]), np.array([r["fold"] == 1 for r in rows], bool)
     if len(set(y[~check])) < 2:
         return float(y.mean()) if len(y) else 0.5
     return Network(x[~check], y[~check], x[check], y[check])
 
 
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``row``, every document as it was, and its ``quality_score``."""
+    vectors = word_vectors(docs, work_folder(docs.sparkSession, "classifier"))
+    trained = train(docs, labels, vectors)
+    sent = docs.sparkSession.sparkContext.broadcast((vectors, trained if isinstance(trained, float) else vars(trained)))
+    own = docs.select(F.struct("*").alias("row"), "text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, state = sent.value
+        network = Network.of(state) if isinstance(state, dict) else None
+        words = Words()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                x = features(part.column(1).to_pylist(), words, table)
+                found = network.score(x) if network else np.full(len(x), state)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["row", "quality_score"])
+
+    return own.mapInArrow(score, T.StructType([own.schema["row"], T.StructField("quality_score", T.DoubleType())]))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
@@ -198,17 +227,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     zero features and a score like any other. Rows that share an id are scored each; a null id isn't held
     out. Labels of unknown documents, null labels and labels other than 0 and 1 are passed over.
     """
-    folder = work_folder(docs.sparkSession, "classifier")
-    features = kept(pooled(docs, word_vectors(docs, folder)), folder, "features")
-    network = train(features, labels)
+    doc_id = F.col("row.doc_id").cast("long")
+    return scored(docs, labels).select(doc_id.alias("doc_id"), F.coalesce(_fold(doc_id) == 0, F.lit(False)).alias("held_out"),
+                                       F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, 2 * SIZE).astype(np.float64)
-                found = np.full(len(x), network) if isinstance(network, float) else network.score(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
-
-    scored = arrow_map(features, score, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not rejected, in their own columns."""
+    return scored(docs, labels).where(F.col("quality_score") >= THRESHOLD).select("row.*")

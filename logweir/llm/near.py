@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import arrow_map, batches_of, kept, rows_of, work_folder
@@ -77,25 +77,25 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc, n_shingles, d1 and d2 (a digest of the set), its bands and the low bytes of its sketch."""
-    schema = pa.schema([("doc", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
+    """doc, a mark of the text, n_shingles, d1 and d2 (a digest of the set), its bands and the low bytes of its sketch."""
+    schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                         ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for doc, text in rows_of(batches, "doc", "text"):
+            for doc, mark, text in rows_of(batches, "doc", "mark", "text"):
                 items = shingles(text, width)
                 if not len(items):
-                    yield doc, 0, None, None, None, None
+                    yield doc, mark, 0, None, None, None, None
                     continue
                 d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), np.int64).tolist()
                 own = sketch(items)
-                yield doc, len(items), d1, d2, band_keys(own), own.astype(np.uint8).tobytes()
+                yield doc, mark, len(items), d1, d2, band_keys(own), own.astype(np.uint8).tobytes()
 
         yield from batches_of(rows(), schema)
 
-    own = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), "text")
-    return arrow_map(own, make, "doc long, n_shingles long, d1 long, d2 long, bands array<long>, low binary")
+    own = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"), F.xxhash64("text").alias("mark"), "text")
+    return arrow_map(own, make, "doc long, mark long, n_shingles long, d1 long, d2 long, bands array<long>, low binary")
 
 
 def contract(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -270,7 +270,7 @@ class Near:
         named = placed.join(firsts, "root").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "component")
         rows = every.join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
         component = F.coalesce("component", "doc")
-        return rows.select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "n_shingles",
+        return rows.select("mark", F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "n_shingles",
                            F.nullif(component, F.lit(_LAST)).alias("component_id"), (F.col("doc") == component).alias("kept"))
 
 
@@ -283,4 +283,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     linked with nothing. A null id comes last and stays null; rows with equal ids are separate documents,
     but kept alike.
     """
-    return Near(docs, width, percent).run()
+    return Near(docs, width, percent).run().drop("mark")
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, that with the least id, in the columns of ``docs``; of rows equal in
+    id and text one stays."""
+    good = Near(docs, width, percent).run().where("kept").select("doc_id", "mark").distinct()
+    good = good.select(F.coalesce("doc_id", F.lit(_LAST)).alias("good_id"), F.col("mark").alias("good_mark"))
+    own = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("own_id"), F.xxhash64("text").alias("own_mark"))
+    found = own.join(good, (F.col("own_id") == F.col("good_id")) & (F.col("own_mark") == F.col("good_mark")))
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_mark").orderBy("good_mark"))
+    return found.withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import classifier, mixing, near, perplexity, pieces, spans, token_files, topk, warc
+from logweir.llm import classifier, main_text, mixing, near, perplexity, pieces, spans, token_files, topk, warc
 from logweir.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_file(name: str) -> bytes:
         return file.read()
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur earlier."""
     return spans.without_repeats(table(spark, sf_dir, "documents"))
@@ -63,10 +68,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries by name."""
     return {f.__name__: f for f in (
-        op2_spans, op3_warc, op4_pieces, op5_mixing, op6_perplexity, op7_token_files, op8_classifier, op9_near, op10_topk)}
+        op1_main_text, op2_spans, op3_warc, op4_pieces, op5_mixing, op6_perplexity, op7_token_files, op8_classifier,
+        op9_near, op10_topk, pipeline)}
 
 
 def sql() -> dict[str, str]:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logweir.llm.common import arrow_map, batches_of, rows_of
+from logweir.llm.common import arrow_map, rows_of
 
 #: A run holds at least two sentences and eight words, and no sentence that could be left out at either end.
 SENTENCES, WORDS = 2, 8
@@ -72,11 +73,11 @@ def run_hashes(units: list[list[str]], first: np.ndarray, last: np.ndarray) -> t
     return out[0], out[1]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents by their id and a few bits of their text, so that rows that share an id stay apart."""
+def _keys(docs: DataFrame) -> list[Column]:
+    """A document's id, a few bits of its text, which keep rows that share an id apart, and its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
-                       F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFF)).alias("mark"), text.alias("text"))
+    return [F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("doc"),
+            F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFF)).alias("mark"), text.alias("text")]
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -120,12 +121,48 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         if count:
             yield from settle(held)
 
-    rows = arrow_map(_keyed(docs), hashed, "h1 long, h2 long, doc long, at long, known boolean")
+    rows = arrow_map(docs.select(*_keys(docs)), hashed, "h1 long, h2 long, doc long, at long, known boolean")
     same = Window.partitionBy("h1", "h2").orderBy("doc", "at")
     later = rows.withColumn("nth", F.row_number().over(same)).where("known OR nth > 1")
     return later.select("doc", F.shiftright("at", 40).alias("mark"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("run"))
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``row``, every document as it was, with ``clean``, its text without repeated sentences, and the numbers
+    of its sentences and of those that went."""
+    gone = repeated_runs(docs).groupBy("doc", "mark").agg(F.collect_set("run").alias("runs"))
+    own = docs.select(F.struct("*").alias("row"), *(k.alias(n) for k, n in zip(_keys(docs), ("own", "own_mark", "old"), strict=True)))
+    found = own.join(gone, (F.col("own") == F.col("doc")) & (F.col("own_mark") == F.col("mark")), "left").select("row", "old", "runs")
+    out = T.StructType([found.schema["row"], T.StructField("clean", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                texts, counts, removed = [], [], []
+                for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    text, all_of_it, lost = _without(text, gone)
+                    texts.append(text)
+                    counts.append(all_of_it)
+                    removed.append(lost)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
+                    names=["row", "clean", "n_sentences", "n_removed"])
+
+    return found.mapInArrow(cut, out)
+
+
+def _without(text: str, gone: list[int] | None) -> tuple[str, int, int]:
+    starts = [s for s, _ in sentences(text)]
+    removed = np.zeros(len(starts), bool)
+    for run in gone or ():
+        removed[run >> 8:(run >> 8) + (run & 255) + 1] = True
+    if removed.any():
+        bounds = [0, *starts[1:], len(text)]
+        text = "".join([text[bounds[i]:bounds[i + 1]] for i in range(len(starts)) if not removed[i]]).rstrip()
+    return text, len(starts), int(removed.sum())
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, the text without repeated sentences, its sentences and how many of them went.
 
@@ -133,23 +170,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     null last. Other text stays as it is, but for white space left at its end. Rows equal in id and text are
     one document. A null text is empty; texts of one sentence, and tables without rows, stay as they are.
     """
-    gone = repeated_runs(docs).groupBy("doc", "mark").agg(F.collect_set("run").alias("runs"))
-    found = _keyed(docs).withColumnRenamed("doc", "own").withColumnRenamed("mark", "own_mark").join(
-        gone, (F.col("own") == F.col("doc")) & (F.col("own_mark") == F.col("mark")), "left").select("own", "text", "runs")
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for doc, text, gone in rows_of(batches, "own", "text", "runs"):
-                starts = [s for s, _ in sentences(text)]
-                removed = np.zeros(len(starts), bool)
-                for run in gone or ():
-                    removed[run >> 8:(run >> 8) + (run & 255) + 1] = True
-                if removed.any():
-                    bounds = [0, *starts[1:], len(text)]
-                    text = "".join([text[bounds[i]:bounds[i + 1]] for i in range(len(starts)) if not removed[i]]).rstrip()
-                yield (None if doc == _LAST else doc), text, len(starts), int(removed.sum())
-
-        yield from batches_of(rows(), schema)
-
-    return arrow_map(found, cut, "doc_id long, text string, n_sentences long, n_removed long")
+    return cleaned(docs).select("row.doc_id", F.col("clean").alias("text"), "n_sentences", "n_removed")
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """Documents in their own columns with the cleaned text, and ``n_chars``, where there is such a column,
+    to match. A document that lost every sentence goes; a text with nothing removed is left alone, null too."""
+    found = cleaned(docs).where("n_removed = 0 OR n_removed < n_sentences")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    return found.select(*[
+        (F.when(changed, new[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")) if f.name in new else F.col(f"row.`{f.name}`")).alias(f.name)
+        for f in docs.schema])
