@@ -23,8 +23,8 @@ COORDINATES, ROWS = 128, 4
 #: (more than four standard deviations of the estimate).
 MARGIN = 0.16
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
-#: Closest pairs of two components that are verified first, before all the rest.
+BLOCK = 512
+#: Closest others of each member that are verified first, before all the rest.
 FIRST = 4
 
 _LAST = (1 << 63) - 1  # stands for a null id
@@ -98,6 +98,27 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(own, make, "doc long, mark long, n_shingles long, d1 long, d2 long, bands array<long>, low binary")
 
 
+def _candidates(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Members of one block of a bucket with those of the other that are in other, larger components, close
+    by their sketches and in no earlier bucket with them; a pair comes up once, from its smaller component."""
+    v, root, own, bucket, p, q = (group.column(n).to_numpy() for n in ("v", "root", "own", "b", "p", "q"))
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(v), -1)
+    at = int(np.flatnonzero(bands[0] == bucket[0])[0])
+    names, which, count = np.unique(root, return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, count))] = np.arange(len(names))
+    rank = rank[which]
+    for i in range(len(v)):
+        rest = np.flatnonzero((rank > rank[i]) & (own != own[i] if p[0] != q[0] else True))
+        near = (low[rest] == low[i]).mean(1) if len(rest) else np.empty(0)
+        good = near >= least
+        if good.any():
+            good &= ~(bands[rest, :at] == bands[i, :at]).any(1)
+            if good.any():
+                yield i, rest[good], near[good]
+
+
 def contract(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node that edges lead to.
 
@@ -179,47 +200,73 @@ class Near:
         joined = pairs.select("a", "b").join(texts, "a").join(others, "b").select("a", "b", "text_a", "text_b")
         return self.keep(arrow_map(joined, check, "a long, b long"), name)
 
-    def open_pairs(self, roots: DataFrame, most: int | None) -> DataFrame:
-        """Pairs of unlike components that share a bucket and whose sketches are close.
-
-        Buckets all in one component are done. The others are compared in blocks of bounded size, by their
-        sketches; a pair is put forward in its first common bucket only, and with ``most`` only the closest
-        few of each two components are.
-        """
+    def open_rows(self, roots: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold unlike components, for each block that they are compared in."""
         placed = self.buckets.join(roots, F.col("v") == F.col("node"), "left").select("b", "v", F.coalesce("root", "v").alias("root"))
-        mixed_up = placed.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2")
-        rows = placed.join(mixed_up.select("b", "n"), "b")
-        rows = rows.join(self.classes.select("v", "bands", "low"), "v")
+        unlike = placed.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2")
+        rows = placed.join(unlike.select("b", "n"), "b").join(self.classes.select("v", "bands", "low"), "v")
         blocks = F.ceil(F.col("n") / BLOCK)
-        own = F.pmod(F.xxhash64("v"), blocks)
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-        least, schema = self.percent / 100 - MARGIN, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64()), ("close", pa.float64())])
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+
+    def closest(self, roots: DataFrame) -> DataFrame:
+        """For every member of an open bucket the few members of other components whose sketches are closest."""
+        least, schema = self.percent / 100 - MARGIN, pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def compare(group: pa.Table) -> pa.Table:
+            v, out = group.column("v").to_numpy(), []
+            for i, found, near in _candidates(group, least):
+                for j in found[np.argsort(-near, kind="stable")[:FIRST]]:
+                    out.append((min(v[i], v[j]), max(v[i], v[j])))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 2
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        pairs = self.open_rows(roots).groupBy("b", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+        return self.verified(self.keep(pairs, "closest"), "closest-verified")
+
+    def settled(self, roots: DataFrame) -> DataFrame:
+        """Links between the components that open buckets still hold: every pair with close sketches is
+        compared on its full sets, where it is; a pair that found links join already needs no more."""
+        least, width, percent = self.percent / 100 - MARGIN, self.width, self.percent
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def compare(group: pa.Table) -> pa.Table:
-            v, root, own, bucket, p, q = (group.column(n).to_numpy() for n in ("v", "root", "own", "b", "p", "q"))
-            bands = np.array(group.column("bands").to_pylist(), np.int64)
-            low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(v), -1)
-            at = int(np.flatnonzero(bands[0] == bucket[0])[0])
+            v, roots_of = group.column("v").to_numpy(), group.column("root").to_numpy()
+            asked = [(i, found) for i, found, _ in _candidates(group, least)]
+            needed = np.unique(np.concatenate([np.append(found, i) for i, found in asked])) if asked else []
+            texts, sets = group.column("text"), {}
+            for i in needed:
+                sets[i] = shingles(texts[int(i)].as_py(), width)
+            top: dict[int, int] = {}
+
+            def head(r: int) -> int:
+                while r in top:
+                    r = top[r]
+                return r
+
             out = []
-            for i in np.flatnonzero(own == p[0]):
-                rest = np.flatnonzero((own == q[0]) & (root != root[i]) & ((v > v[i]) if p[0] == q[0] else True))
-                if not len(rest):
-                    continue
-                near = (low[rest] == low[i]).mean(1)
-                good = near >= least
-                good &= ~(bands[rest, :at] == bands[i, :at]).any(1)
-                for j, s in zip(rest[good], near[good], strict=True):
-                    a, b = (i, j) if root[i] > root[j] else (j, i)
-                    out.append((v[a], v[b], root[a], root[b], s))
-            if most is not None and out:
-                out.sort(key=lambda x: (x[2], x[3], -x[4], x[0], x[1]))
-                used: dict[tuple, int] = {}
-                out = [x for x in out if used.setdefault(x[2:4], 0) < most and not used.__setitem__(x[2:4], used[x[2:4]] + 1)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            if asked:
+                items = np.concatenate([sets[i] for i in needed])
+                who = np.repeat(np.asarray(needed), [len(sets[i]) for i in needed])
+                order = np.argsort(items, kind="stable")
+                items, who = items[order], who[order]
+                sizes = np.zeros(len(v), np.int64)
+                sizes[needed] = [len(sets[i]) for i in needed]
+            for i, found in asked:
+                low, high = np.searchsorted(items, sets[i], "left"), np.searchsorted(items, sets[i], "right")
+                spans = high - low
+                at = np.arange(spans.sum()) + np.repeat(low - (np.cumsum(spans) - spans), spans)
+                both = np.bincount(who[at], minlength=len(v))[found]
+                for j in found[100 * both >= percent * (sizes[i] + sizes[found] - both)]:
+                    one, two = head(int(roots_of[i])), head(int(roots_of[j]))
+                    if one != two:
+                        top[max(one, two)] = min(one, two)
+                        out.append((v[i], v[j]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 2
             return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        return rows.groupBy("b", "p", "q").applyInArrow(compare, "a long, b long, ra long, rb long, close double").select("a", "b").distinct()
+        rows = self.open_rows(roots).join(self.texts, "v")
+        return self.keep(rows.groupBy("b", "p", "q").applyInArrow(compare, "a long, b long"), "settled")
 
     def run(self) -> DataFrame:
         every = self.keep(sketches(self.docs, self.width), "sketches")
@@ -235,8 +282,8 @@ class Near:
         active = self.classes.join(self.buckets.select("v").distinct(), "v").select("v", "doc", "d1", "d2")
         self.texts = self.keep(self._texts(active), "texts")
         roots = contract(self.verified(best, "stars-verified"), self.folder, "round-0")
-        for turn, most in enumerate((FIRST, None), 1):
-            links = self.verified(self.keep(self.open_pairs(roots, most), f"open-{turn}"), f"open-{turn}-verified")
+        for turn, step in enumerate((self.closest, self.settled), 1):
+            links = step(roots)
             here = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
                 roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
             up = contract(here.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), self.folder, f"round-{turn}")
@@ -278,8 +325,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """doc_id, n_shingles, component_id (the least doc_id that links lead to) and whether that is its own.
 
     Documents with equal sets are one class from the start. Classes that share a band of their sketches meet:
-    first each with the least of its buckets, the closest by bands, and then, in buckets that still hold
-    unlike components, with every other. All links are confirmed on the full sets. Texts without words are
+    first each with the least of its buckets that shares most bands, then, in buckets that still hold unlike
+    components, with the few closest, and last with every other. All links are confirmed on the full sets. Texts without words are
     linked with nothing. A null id comes last and stays null; rows with equal ids are separate documents,
     but kept alike.
     """
