@@ -186,9 +186,9 @@ def label(text: str, linked: int, region: bool, chosen: bool, heading: bool) ->
     return OPEN if stops >= STOPS_LOW else BAD
 
 
-def settled(labels: list[int], tie: int) -> list[int]:
-    """Second pass: open blocks take the label of the nearer decided neighbour, and ``tie`` where two
-    unlike ones are equally near or none is there."""
+def settled(labels: list[int], tie: int, headings: list[bool] | None = None) -> list[int]:
+    """Second pass: open blocks take the label of the nearer decided neighbour, headings that of the one
+    after them, and ``tie`` where two unlike ones are equally near or none is there."""
     n = len(labels)
     before, after = [(n, 0)] * n, [(n, 0)] * n
     last = (-n - 1, 0)
@@ -200,8 +200,8 @@ def settled(labels: list[int], tie: int) -> list[int]:
         last = (i, labels[i]) if labels[i] else last
         after[i] = (last[0] - i, last[1])
     out = []
-    for own, (d, one), (e, two) in zip(labels, before, after, strict=True):
-        nearer = (one if d < e else two if e < d else one if one == two else tie) if one and two else one or two or tie
+    for own, (d, one), (e, two), heading in zip(labels, before, after, headings or [False] * n, strict=True):
+        nearer = two if heading and two else (one if d < e else two if e < d else one if one == two else tie) if one and two else one or two or tie
         out.append(own or nearer)
     return out
 
@@ -222,7 +222,7 @@ def main_text(page: str | None) -> str:
     for b, text in zip(found, texts, strict=True):
         linked = len(_clean(b.linked)) if b.linked else 0
         labels.append(BAD if b.dropped else label(text, linked, kind is not None, kind is not None and getattr(b, kind), b.heading))
-    final = settled(labels, GOOD if kind or not any(labels) else BAD)
+    final = settled(labels, GOOD if kind or not any(labels) else BAD, [b.heading for b in found])
     return "\n".join(t for t, own in zip(texts, final, strict=True) if own == GOOD)
 
 

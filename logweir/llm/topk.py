@@ -31,8 +31,8 @@ def segments(vectors: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, n
     bounds = np.linspace(0, vectors.shape[1], min(parts, vectors.shape[1]) + 1).astype(int)
     sizes = np.diff(bounds).astype(np.float64)
     means = np.add.reduceat(vectors, bounds[:-1], axis=1) / sizes
-    squares = np.add.reduceat(vectors * vectors, bounds[:-1], axis=1) - sizes * means * means
-    return sizes, means, np.sqrt(np.maximum(squares, 0) + 1e-6)
+    apart = vectors - np.repeat(means, np.diff(bounds), axis=1)
+    return sizes, means, np.sqrt(np.add.reduceat(apart * apart, bounds[:-1], axis=1))
 
 
 def bound(queries: tuple, vectors: tuple) -> np.ndarray:
@@ -40,7 +40,8 @@ def bound(queries: tuple, vectors: tuple) -> np.ndarray:
     means multiply, and what deviates from them is at most the product of the deviations."""
     sizes, q_mean, q_dev = queries
     _, v_mean, v_dev = vectors
-    return np.hstack([q_mean * sizes, q_dev]) @ np.hstack([v_mean, v_dev]).T
+    most = np.hstack([q_mean * sizes, q_dev]) @ np.hstack([v_mean, v_dev]).T
+    return np.where(np.isfinite(most), most, np.inf)  # beyond what doubles hold nothing is pruned
 
 
 def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -58,10 +59,15 @@ class TopK:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int = K):
         self.ids, self.queries, self.k = ids, queries, k
         self.floors = floors.copy()
-        self.stats = [segments(queries, s) for s in LEVELS]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.stats = [segments(queries, s) for s in LEVELS]
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._add(ids, vectors)
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for low in range(0, len(ids), _BLOCK):
             own, block = ids[low:low + _BLOCK], vectors[low:low + _BLOCK]
             stats = [segments(block, s) for s in LEVELS]
@@ -71,7 +77,7 @@ class TopK:
 
     def _block(self, part: slice, ids: np.ndarray, block: np.ndarray, stats: list, reach: float) -> None:
         slack = 0.5 + 1e-9 * reach * np.sqrt((self.queries[part] ** 2).sum(1))
-        need = self.floors[part].astype(np.float64) - slack
+        need = self.floors[part].astype(np.float64) - np.nan_to_num(slack, nan=np.inf, posinf=np.inf)
         rows, columns = np.arange(len(need)), np.arange(len(ids))
         alive = np.ones((len(rows), len(columns)), bool)
         for (sizes, means, devs), (_, v_means, v_devs) in zip(self.stats, stats, strict=True):
