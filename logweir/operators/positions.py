@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logweir.functions.text import octets
 
 DIGIT_BITS = 16
-LEVELS = 3  # keys below 2**48 keep every window within 65,536 rows
+LEVELS = 4  # four digits hold every non-negative 64-bit key, so no window is larger
 
 
 def running_sums(

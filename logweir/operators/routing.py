@@ -10,9 +10,11 @@ NO_FACILITY = -1
 _BLANKS = " \t\r\n\v\f"
 
 
-def compile_rules(rules: DataFrame, name: str) -> DataFrame:
+def compile_rules(rules: DataFrame, name: str, *carried: str) -> DataFrame:
     """Rules with a ``facility_spec`` to (name, facility_code) rows; a null code accepts everything.
 
+    ``carried`` columns of a rule come along, so that nobody has to join the rules to themselves.
+
     Names are comma-separated, trimmed and case-insensitive. An absent or empty spec, or ``*``
     anywhere, is the wildcard. A name that is not known before any ``*`` is an error.
     """
@@ -27,16 +29,16 @@ def compile_rules(rules: DataFrame, name: str) -> DataFrame:
     )
     wildcard = (F.col("facility_spec").isNull()) | (spec == "") | (F.col("_star") > 0)
     return (
-        rules.select(name, "facility_spec", tokens.alias("_tokens"))
-        .select(name, "facility_spec", star.alias("_star"), read.alias("_read"))
+        rules.select(name, *carried, "facility_spec", tokens.alias("_tokens"))
+        .select(name, *carried, "facility_spec", star.alias("_star"), read.alias("_read"))
         .select(
-            name,
+            name, *carried,
             F.when(spec == "", F.array().cast("array<int>"))
             .otherwise(F.transform("_read", code)).alias("_codes"),
             wildcard.alias("_all"),
         )
         # The check above runs for every rule, so a bad name is found even beside a wildcard.
-        .select(name, F.explode(
+        .select(name, *carried, F.explode(
             F.when(F.col("_all") & (F.size("_codes") >= 0), F.array(F.lit(None).cast("int")))
             .otherwise(F.array_distinct("_codes"))
         ).alias("facility_code"))
@@ -65,13 +67,14 @@ def _with_code(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("_code", F.coalesce("facility_code", F.lit(NO_FACILITY)))
 
 
-def route(parsed: DataFrame, routes: DataFrame) -> DataFrame:
-    """Every message to every sink that accepts it: input columns plus ``sink``.
+def route(parsed: DataFrame, routes: DataFrame, *carried: str) -> DataFrame:
+    """Every message to every sink that accepts it: input columns plus ``sink`` and ``carried``
+    columns of its rule, such as the outputs it writes.
 
     Malformed messages reach only wildcard sinks that keep them.
     """
-    compiled = compile_routes(routes).join(routes.select("sink", "include_malformed"), "sink")
-    keys = _join_keys(compiled, F.col("include_malformed")).select("sink", "_code")
+    compiled = compile_rules(routes, "sink", "include_malformed", *carried)
+    keys = _join_keys(compiled, F.col("include_malformed")).select("sink", *carried, "_code")
     return join_small(_with_code(parsed), keys, ["_code"]).drop("_code")
 
 
@@ -95,9 +98,7 @@ def select_forwards(parsed: DataFrame, rules: DataFrame) -> DataFrame:
     Unlike sinks, a wildcard target always takes malformed messages.
     """
     enabled = rules.filter("enabled")
-    compiled = compile_rules(enabled, "target").join(
-        enabled.select("target", "max_message_size"), "target"
-    )
+    compiled = compile_rules(enabled, "target", "max_message_size")
     keys = _join_keys(compiled, F.lit(True))
     return join_small(_with_code(parsed), keys, ["_code"]).drop("_code")
 

@@ -226,7 +226,7 @@ def _sizes(df: DataFrame) -> DataFrame:
 
 def assign_generations(
     df: DataFrame, max_bytes: int | Column | None = None, carry: DataFrame | None = None,
-    exact: bool = True, block_bytes: int = BLOCK_BYTES, fan_in: int | None = None,
+    block_bytes: int = BLOCK_BYTES, fan_in: int | None = None,
     sums: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``generation``, the number of the segment a row is written to, per ``sink``.
@@ -235,8 +235,7 @@ def assign_generations(
 
     ``df`` has sink, seq and the bytes each row adds to the text and JSONL outputs (``text_bytes``,
     ``json_bytes``). ``max_bytes`` is a number or a per-sink column; null is one endless segment.
-    ``exact=False`` cuts at multiples of the limit instead: one projection after the running sums,
-    but the cuts drift from the sequential rule where a segment overshoots.
+    A sink that writes neither output never fills a segment, so its rows keep generation 0.
     """
     limit = F.lit(max_bytes) if max_bytes is None or isinstance(max_bytes, int) else max_bytes
     given = df.columns
@@ -246,11 +245,6 @@ def assign_generations(
     placed = running_sums(
         sized, {"text_pos": "text_bytes", "json_pos": "json_bytes", **sums}, ["sink"], "seq"
     )
-    if not exact:
-        furthest = F.greatest("text_pos", "json_pos")
-        cut = F.floor(furthest / F.col("max_bytes")).cast("long")
-        return placed.select(*given, F.coalesce(cut, F.lit(0)).alias("generation"))
-
     place = F.col("text_pos") + F.col("json_pos")
     fine = F.greatest(
         F.least(F.col("max_bytes"), F.lit(block_bytes)) * FINE_LIMITS, F.lit(FINE_FLOOR)
@@ -260,7 +254,8 @@ def assign_generations(
     cut_rows = placed.withColumn("fine", F.floor(place / fine)).withColumn(
         "_leaf", F.floor(F.col("fine") / F.floor(fines_per_leaf))
     )
-    bounded = cut_rows.filter("max_bytes IS NOT NULL").select(
+    # A sink without outputs stays at byte 0: its rows open no segment and would all be one block.
+    bounded = cut_rows.filter("max_bytes IS NOT NULL AND (text_bytes + json_bytes > 0 OR text_pos + json_pos > 0)").select(
         "sink", "text_pos", "json_pos", "max_bytes", "fine", F.col("_leaf").alias("leaf")
     )
     marks = materialize(

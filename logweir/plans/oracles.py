@@ -313,7 +313,6 @@ FROM cut GROUP BY sink, generation"""
         "severity_counts": _parsed(
             "SELECT coalesce(upper(severity), 'UNKNOWN') AS label, count(*) AS n FROM p GROUP BY 1"
         ),
-        "compiled_routes": _q("SELECT sink, facility_code FROM compiled", _ROUTES),
         "route_fanout": _routed("SELECT sink, seq, proto, facility FROM routed"),
         "route_counts": _routed("SELECT sink, count(*) AS n FROM routed GROUP BY sink"),
         "select_forwards": _q(
@@ -328,7 +327,7 @@ FROM cut GROUP BY sink, generation"""
         "jsonl_documents": _log("SELECT seq, line, nbytes FROM n", _DOCUMENTS),
         "jsonl_round_trip": _log(f"SELECT seq, {_RECORD} FROM l"),
         "jsonl_sink": _log(f"SELECT {_RECORD}, line FROM l"),
-        "text_sink": _routed("SELECT sink, raw FROM sized WHERE sink IN ('auth', 'mail', 'bulk')"),
+        "text_sink": _routed("SELECT sink, raw FROM sized WHERE write_text"),
         "filter_sev": _log(f"SELECT {_HIT} FROM w WHERE severity IN ('ERROR', 'WARNING')"),
         "filter_fac": _log(f"SELECT {_HIT} FROM w WHERE facility IN ('auth', 'cron')"),
         "filter_fac_codes": _parsed("SELECT seq, facility_code FROM p WHERE facility_code IN (4, 15)"),
@@ -396,10 +395,6 @@ FROM cut GROUP BY sink, generation"""
             "AND pos >= 10000", _CONVERSATIONS,
         ),
         "segments_exact": _segmented("SELECT sink, seq, generation FROM cut"),
-        "segments_prefix": _routed(
-            "SELECT sink, seq, CAST(coalesce(greatest(text_pos, json_pos) // max_bytes, 0) "
-            "AS BIGINT) AS generation FROM placed"
-        ),
         "segment_table": _segmented(
             "SELECT sink, generation, min(pos) AS start, CAST(sum(nbytes) AS BIGINT) AS size, "
             "count(*) AS lines FROM cut GROUP BY sink, generation"
@@ -425,11 +420,59 @@ FROM cut GROUP BY sink, generation"""
             "WHERE max_files = 0 OR age <= max_files GROUP BY sink, generation"
         ),
         "log_chain": _segmented(
-            "SELECT CAST(age AS INTEGER) AS age, pos - (SELECT min(pos) FROM aged "
+            "SELECT age, pos - (SELECT min(pos) FROM aged "
             "WHERE sink = 'main' AND age <= 10) AS pos, nbytes, line "
             "FROM aged WHERE sink = 'main' AND age <= 10"
         ),
-        "stream_ingest": _segmented(per_segment),
+        "log_chain_all": _segmented("SELECT age, pos, nbytes, line FROM aged WHERE sink = 'main'"),
+        "chain_page": _segmented(
+            f"SELECT pos, line FROM aged WHERE sink = 'main' AND pos >= {PAGE_AT} AND {_COMBINED} "
+            "ORDER BY pos LIMIT 20"
+        ),
+        "chain_tail": _segmented(
+            f"SELECT pos, line FROM aged WHERE sink = 'main' AND {_ERR} ORDER BY pos DESC LIMIT 200"
+        ),
+        "chain_search": _segmented(
+            f"SELECT pos, line FROM aged WHERE sink = 'main' AND {hit} AND {_ERR} ORDER BY pos LIMIT 200"
+        ),
+        "chain_search_total": _segmented(
+            f"SELECT count(*) AS total_matches FROM aged WHERE sink = 'main' AND {hit} AND {_ERR}"
+        ),
+        "landed_datagrams": _q(
+            "SELECT seq, strftime(rcv, '%Y-%m-%dT%H:%M:%SZ') AS rcv, src, payload FROM dg", _EVENTS
+        ),
+        "stream_ingest": _segmented(per_segment.replace(
+            "FROM cut", "FROM aged WHERE max_files = 0 OR age <= max_files"
+        )),
+        "ingest_text": _segmented(
+            "SELECT sink, generation, raw AS line FROM aged "
+            "WHERE write_text AND (max_files = 0 OR age <= max_files)"
+        ),
+        "ingest_jsonl": _segmented(
+            "SELECT sink, generation, line FROM aged "
+            "WHERE write_jsonl AND (max_files = 0 OR age <= max_files)"
+        ),
+        "ingest_retained": _segmented(
+            "SELECT sink, generation, count(*) AS lines, count(*) AS stored_lines FROM aged "
+            "WHERE max_files = 0 OR age <= max_files GROUP BY sink, generation"
+        ),
+        "stream_follow_sink": _segmented(
+            "SELECT line FROM aged WHERE sink = 'jobs' AND (max_files = 0 OR age <= max_files)"
+        ),
+        "follow_from_end": _segmented(
+            f"SELECT {_HIT} FROM cut WHERE sink = 'main' AND pos >= "
+            "(SELECT sum(nbytes) // 2 FROM cut WHERE sink = 'main')"
+        ),
+        "stored_backward": _segmented(
+            f"SELECT {_HIT} FROM cut WHERE sink = 'main' AND pos < {PAGE_AT} AND {_ERR} "
+            "ORDER BY pos DESC LIMIT 50"
+        ),
+        "stored_search": _segmented(
+            f"SELECT {_HIT} FROM cut WHERE sink = 'main' AND {hit} AND {_ERR} ORDER BY pos LIMIT 200"
+        ),
+        "stored_search_total": _segmented(
+            f"SELECT count(*) AS total_matches FROM cut WHERE sink = 'main' AND {hit} AND {_ERR}"
+        ),
         "stream_follow": _log(f"SELECT {_TEXT} AS text FROM w WHERE {_CONSOLE}"),
         "format_line": _log(f"SELECT seq, {_TEXT} AS text FROM w"),
         "format_line_columns": _log(

@@ -18,7 +18,7 @@ from logweir.operators.parse import PARSED_COLUMNS, parse_syslog, to_jsonl
 from logweir.operators.positions import (
     locate, log_summary, relative_positions, segment_table, with_positions,
 )
-from logweir.operators.routing import compile_routes, forward, route, select_forwards
+from logweir.operators.routing import forward, route, select_forwards
 from logweir.operators.segments import assign_generations, generation_name, retain
 from logweir.operators.views import detail_view, format_line, grid_view
 from logweir.plans.corpus import conversation_datagrams, document_datagrams, event_datagrams
@@ -27,13 +27,17 @@ from logweir.plans.settings import (
 )
 from logweir.schemas import DATAGRAM, FORWARD_RULE, RECORD, ROUTE
 from logweir.session import materialize, scratch_dir
+from logweir.sources import files
 from logweir.sources.chain import chain_positions, parse_jsonl, read_log_chain
+from logweir.sources.datagrams import read_datagrams, stream_datagrams
 from logweir.sources.log_table import LogTable
 from logweir.sources.sinks import (
     drop_expired, read_logs, to_logs, write_jsonl, write_logs, write_text,
 )
-from logweir.streaming.follow import follow, follow_log
-from logweir.streaming.ingest import read_ingested, segment_batch, start_forward, start_ingest
+from logweir.streaming.follow import follow, follow_log, follow_table
+from logweir.streaming.ingest import (
+    read_ingested, read_segments, segment_batch, start_forward, start_ingest,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,9 +82,7 @@ def conversation_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def routed_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of every sink with line and sizes."""
-    rules = routes(spark)
-    flags = rules.select("sink", "write_text", "write_jsonl")
-    fanned = route(to_jsonl(parsed(spark, sf)), rules).join(F.broadcast(flags), "sink")
+    fanned = route(to_jsonl(parsed(spark, sf)), routes(spark), "write_text", "write_jsonl")
     return to_logs(fanned).drop("write_text", "write_jsonl")
 
 
@@ -143,83 +145,137 @@ def _jsonl_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 def _text_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "text")
-    kept = routed_logs(spark, sf).filter(F.col("sink").isin("auth", "mail", "bulk"))
-    write_text(kept.select("sink", "seq", "raw"), path)
+    written = routed_logs(spark, sf).filter("text_bytes > 0")  # sinks that write text
+    write_text(written.select("sink", "seq", "raw"), path)
     return spark.read.option("lineSep", "\n").text(path).select("sink", F.col("value").alias("raw"))
 
 
 def _stored(spark: SparkSession, sf: str) -> str:
-    path = new_folder(spark, "logs")
+    path = f"{new_folder(spark, 'stored')}/logs"
     write_logs(segmented(spark, sf), path)
     return path
 
 
+def _stored_log(spark: SparkSession, sf: str) -> LogTable:
+    """The stored log of one sink with its segment table as the index."""
+    path = _stored(spark, sf)
+    segments = materialize(segment_table(read_logs(spark, path), ["sink"]), "segments")
+    return LogTable(spark, path, "main", segments)
+
+
 def _expired_dropped(spark: SparkSession, sf: str) -> DataFrame:
     path = _stored(spark, sf)
     drop_expired(spark, path, routes(spark))
     return read_logs(spark, path).groupBy("sink", "generation").agg(F.count("*").alias("lines"))
 
 
-def _log_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest segments of one sink exported as rotated files and read back as one log."""
+def _chain(spark: SparkSession, sf: str, max_files: int) -> DataFrame:
+    """All segments of one sink exported as rotated files and read back as one log with positions."""
     folder = new_folder(spark, "chain")
     main = generation_name(segmented(spark, sf).filter("sink = 'main'"))
-    kept = materialize(main.filter("age <= 12").select("seq", "age", "line"), "chain-rows")
-    _export_chain(kept, folder, "syslog", ".jsonl")
-    chain = read_log_chain(spark, f"{folder}/syslog.jsonl", max_files=10)
-    return chain_positions(chain).select("age", "pos", "nbytes", "line")
+    rows = materialize(main.select("seq", "age", "line"), "chain-rows")
+    _export_chain(rows, folder, "syslog", ".jsonl")
+    return chain_positions(read_log_chain(spark, f"{folder}/syslog.jsonl", max_files))
+
+
+def _chain_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain parsed, ready for pages and search."""
+    return parse_jsonl(_chain(spark, sf, 0))
 
 
 def _export_chain(rows: DataFrame, folder: str, stem: str, ext: str) -> None:
     """One file per age, named as a rotating writer names them (at most one segment per task)."""
-    spark = rows.sparkSession
     staging = f"{folder}-staging"
     (
         rows.repartition("age").sortWithinPartitions("age", "seq")
         .select("age", F.col("line").alias("value")).write.partitionBy("age").text(staging)
     )
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(hadoop.Path(folder))
-    for status in files.globStatus(hadoop.Path(f"{staging}/age=*/part-*")):
-        age = int(status.getPath().getParent().getName().split("=")[1])
-        name = f"{stem}{ext}" if age == 0 else f"{stem}.{age}{ext}"
-        files.rename(status.getPath(), hadoop.Path(folder, name))
+    for part in files.names(staging):
+        if part.startswith("age="):
+            age = int(part.removeprefix("age="))
+            name = f"{stem}{ext}" if age == 0 else f"{stem}.{age}{ext}"
+            for file in files.names(f"{staging}/{part}"):
+                if file.startswith("part-"):
+                    files.move_file(f"{staging}/{part}/{file}", f"{folder}/{name}")
 
 
-def _landed(spark: SparkSession, sf: str, parts: int = 4) -> str:
-    """Datagrams as landing files in arrival order."""
+BATCHES, LANDING_ROWS = 4, 1_000_000
+
+
+def _landed(spark: SparkSession, sf: str) -> str:
+    """Datagrams as landing files of bounded size that appear one after another, in arrival order."""
     path = new_folder(spark, "landing")
-    event_datagrams(spark, sf).repartitionByRange(parts, "seq").write.parquet(path)
+    parts = max(BATCHES, event_datagrams(spark, sf).count() // LANDING_ROWS)
+    event_datagrams(spark, sf).repartitionByRange(parts, "seq").write.parquet(f"{path}-sorted")
+    for name in sorted(n for n in files.names(f"{path}-sorted") if n.startswith("part-")):
+        part = spark.read.schema(DATAGRAM).parquet(f"{path}-sorted/{name}")
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+def _landing_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The landing files as a stream in about as many micro-batches as BATCHES."""
+    path = _landed(spark, sf)
+    count = sum(n.startswith("part-") for n in files.names(path))
+    return stream_datagrams(spark, path, max(1, count // BATCHES))
+
+
+def _ingested(spark: SparkSession, sf: str) -> str:
+    """Where the landed datagrams were ingested, one landing file per micro-batch."""
     out = new_folder(spark, "ingest")
-    stream = spark.readStream.schema(DATAGRAM).parquet(_landed(spark, sf))
-    start_ingest(stream, routes(spark), out, f"{out}/checkpoint").awaitTermination()
-    return per_segment(read_ingested(spark, out))
+    start_ingest(_landing_stream(spark, sf), routes(spark), out, f"{out}/checkpoint").awaitTermination()
+    return out
+
+
+def _ingest_lines(spark: SparkSession, sf: str, output: str) -> DataFrame:
+    schema = "value string, batch long, sink string, generation long"
+    rows = spark.read.schema(schema).option("lineSep", "\n").text(f"{_ingested(spark, sf)}/{output}")
+    return rows.select("sink", "generation", F.col("value").alias("line"))
+
+
+def _ingest_retained(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments that are still there after ingest: in the table of segments, and in the log itself."""
+    out = _ingested(spark, sf)
+    kept = read_segments(spark, out, routes(spark)).groupBy("sink", "generation").agg(F.sum("lines").alias("lines"))
+    there = read_ingested(spark, out).groupBy("sink", "generation").agg(F.count("*").alias("stored_lines"))
+    return kept.join(there, ["sink", "generation"], "full").select("sink", "generation", "lines", "stored_lines")
 
 
 def _stream_forward(spark: SparkSession, sf: str) -> DataFrame:
     out = new_folder(spark, "forward")
-    stream = spark.readStream.schema(DATAGRAM).parquet(_landed(spark, sf))
-    start_forward(stream, forward_rules(spark), f"{out}/sent", f"{out}/checkpoint").awaitTermination()
+    start_forward(_landing_stream(spark, sf), forward_rules(spark), f"{out}/sent", f"{out}/checkpoint").awaitTermination()
     sent = spark.read.parquet(f"{out}/sent")
     return sent.select("target", "seq", F.col("payload").cast("string").alias("payload"))
 
 
+def _shown(spark: SparkSession, rows: DataFrame, out: str, schema: str) -> DataFrame:
+    """What a stream of rows shows until it has caught up."""
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
+        "path", f"{out}/shown").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/shown")
+
+
 def _stream_follow(spark: SparkSession, sf: str) -> DataFrame:
     out = new_folder(spark, "follow")
     write_jsonl(lines(spark, sf).withColumn("sink", F.lit("main")), f"{out}/lines")
-    rows = follow(follow_log(spark, f"{out}/lines"), None, CONSOLE_INCLUDE, CONSOLE_EXCLUDE)
-    query = (
-        rows.select("text").writeStream.format("parquet")
-        .option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/shown")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema("text string").parquet(f"{out}/shown")
+    # Files are capped per poll; the lines of all polls together are compared.
+    rows = follow(follow_log(spark, f"{out}/lines", 1), None, CONSOLE_INCLUDE, CONSOLE_EXCLUDE)
+    return _shown(spark, rows.select("text"), out, "text string")
+
+
+def _stream_follow_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """One sink of what ingest wrote, the segments that retention keeps."""
+    out = _ingested(spark, sf)
+    rows = follow_log(spark, f"{out}/jsonl", sink="jobs").select("line")
+    return _shown(spark, rows, f"{out}/follow", "line string")
+
+
+def _follow_from_end(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that come after half of the log, followed without history."""
+    path, out = _stored(spark, sf), new_folder(spark, "follow-end")
+    total = read_logs(spark, path).filter("sink = 'main'").agg(F.sum("nbytes")).first()[0] or 0
+    rows = follow_table(spark, path, "main", total // 2, 8)
+    return _shown(spark, rows.select(*HIT), out, "seq long, pos long, line string")
 
 
 def _received(spark: SparkSession, sf: str) -> tuple[int, int]:
@@ -263,7 +319,6 @@ def queries() -> dict[str, Query]:
     )
 
     # Routing and forwarding
-    q["compiled_routes"] = lambda s, sf: compile_routes(routes(s))
     header = ("seq", "proto", "facility_code", "facility")
     q["route_fanout"] = lambda s, sf: route(parsed(s, sf, header), routes(s)).select(
         "sink", "seq", "proto", "facility"
@@ -343,7 +398,7 @@ def queries() -> dict[str, Query]:
 
     # Search and facets
     q["search_hits"] = lambda s, sf: find.search(log(s, sf), "VALUE=2", 200, URGENT).select(*HIT)
-    q["search_total"] = lambda s, sf: find.search_count(log(s, sf), "VALUE=2", URGENT)
+    q["search_total"] = lambda s, sf: find.search_count(lines(s, sf), "VALUE=2", URGENT)
     q["search_numbered"] = lambda s, sf: find.search_numbered(log(s, sf), "value=2").select(
         "seq", "pos", "k", "shown", "total_matches", "counter", "next_k", "prev_k"
     )
@@ -362,9 +417,6 @@ def queries() -> dict[str, Query]:
 
     # Segments and stored logs
     q["segments_exact"] = lambda s, sf: cut_sizes(s, sf).select("sink", "seq", "generation")
-    q["segments_prefix"] = lambda s, sf: assign_generations(
-        sizes(s, sf), F.col("max_bytes"), exact=False
-    ).select("sink", "seq", "generation")
     q["segment_table"] = lambda s, sf: segment_table(with_positions(cut_sizes(s, sf)), ["sink"])
     q["segment_ages"] = lambda s, sf: generation_name(cut_sizes(s, sf)).select("sink", "seq", "age")
     q["retained"] = lambda s, sf: retain(cut_sizes(s, sf), F.col("max_files")).select(
@@ -374,14 +426,23 @@ def queries() -> dict[str, Query]:
         retain(with_positions(cut_sizes(s, sf)), F.col("max_files"))
     ).select("sink", "seq", "rel_pos")
     q["stored_table"] = lambda s, sf: per_segment(read_logs(s, _stored(s, sf)))
-    q["stored_tail"] = lambda s, sf: LogTable(s, _stored(s, sf), "main").tail(
-        100, URGENT
-    ).select(*HIT)
-    q["stored_page"] = lambda s, sf: LogTable(s, _stored(s, sf), "main").forward(
-        PAGE_AT, 100, URGENT
-    ).select(*HIT)
+    q["stored_tail"] = lambda s, sf: _stored_log(s, sf).tail(100, URGENT).select(*HIT)
+    q["stored_page"] = lambda s, sf: _stored_log(s, sf).forward(PAGE_AT, 100, URGENT).select(*HIT)
+    q["stored_backward"] = lambda s, sf: _stored_log(s, sf).backward(PAGE_AT, 50, URGENT).select(*HIT)
+    q["stored_search"] = lambda s, sf: _stored_log(s, sf).search("VALUE=2", 200, URGENT).select(*HIT)
+    q["stored_search_total"] = lambda s, sf: _stored_log(s, sf).search_count("VALUE=2", URGENT)
     q["expired_dropped"] = _expired_dropped
-    q["log_chain"] = _log_chain
+    chain_columns = ("age", "pos", "nbytes", "line")
+    q["log_chain"] = lambda s, sf: _chain(s, sf, 10).select(*chain_columns)
+    q["log_chain_all"] = lambda s, sf: _chain(s, sf, 0).select(*chain_columns)
+    q["chain_page"] = lambda s, sf: paging.read_forward(
+        _chain_log(s, sf), PAGE_AT, 20, COMBINED
+    ).select("pos", "line")
+    q["chain_tail"] = lambda s, sf: paging.tail(_chain_log(s, sf), flt=URGENT).select("pos", "line")
+    q["chain_search"] = lambda s, sf: find.search(
+        _chain_log(s, sf), "VALUE=2", 200, URGENT
+    ).select("pos", "line")
+    q["chain_search_total"] = lambda s, sf: find.search_count(_chain_log(s, sf), "VALUE=2", URGENT)
     q["jsonl_sink"] = _jsonl_sink
     q["text_sink"] = _text_sink
 
@@ -397,9 +458,17 @@ def queries() -> dict[str, Query]:
     q["detail_view"] = lambda s, sf: detail_view(parsed(s, sf))
 
     # Streams and audits
-    q["stream_ingest"] = _stream_ingest
+    q["landed_datagrams"] = lambda s, sf: read_datagrams(s, _landed(s, sf)).select(
+        "seq", rcv_iso(F.col("rcv")).alias("rcv"), "src", F.col("payload").cast("string").alias("payload")
+    )
+    q["stream_ingest"] = lambda s, sf: per_segment(read_ingested(s, _ingested(s, sf)))
+    q["ingest_text"] = lambda s, sf: _ingest_lines(s, sf, "text")
+    q["ingest_jsonl"] = lambda s, sf: _ingest_lines(s, sf, "jsonl")
+    q["ingest_retained"] = _ingest_retained
     q["stream_forward"] = _stream_forward
     q["stream_follow"] = _stream_follow
+    q["stream_follow_sink"] = _stream_follow_sink
+    q["follow_from_end"] = _follow_from_end
     q["completeness"] = lambda s, sf: completeness_report(
         parsed(s, sf, ("seq", "proto")).filter(keep_malformed(False)), "seq", *_received(s, sf)
     )

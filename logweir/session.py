@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.sources import files
+
 
 def build_session(app: str = "logweir", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; sizes are left to the cluster."""
@@ -25,9 +27,14 @@ def build_session(app: str = "logweir", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is made only where none is set."""
+    """The cluster's shared checkpoint folder; a local one is made only on a local master.
+
+    On a cluster each executor would write to a disk of its own, so there a missing folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="logweir-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -45,8 +52,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scope.reset(token)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files.delete(folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from logweir.functions.predicates import drop_bad_lines
 from logweir.schemas import RECORD
 
 CHAIN_SCHEMA = (
-    "line string, age int, file_size bigint, block_start bigint, line_id bigint"
+    "line string, age bigint, file_size bigint, block_start bigint, line_id bigint"
 )
 
 
@@ -22,7 +22,8 @@ def _glob_escape(text: str) -> str:
 def read_log_chain(spark: SparkSession, base_path: str, max_files: int = 10) -> DataFrame:
     """Lines of the active file (``age`` 0) and its newest ``max_files`` rotated ones; 0 is all.
 
-    Missing and empty files simply contribute nothing. ``block_start`` and ``line_id`` order the
+    Rotated files are ``stem.N.ext`` with N from 1 and no leading zero; other names are no part of
+    the log. Missing and empty files simply contribute nothing. ``block_start`` and ``line_id`` order the
     lines inside a file; lines end at a newline only, so a carriage return stays in the line.
     """
     folder, name = posixpath.split(base_path)
@@ -36,18 +37,17 @@ def read_log_chain(spark: SparkSession, base_path: str, max_files: int = 10) ->
         return spark.createDataFrame([], CHAIN_SCHEMA)
     file_name = F.col("_metadata.file_name")
     number = F.regexp_extract(
-        file_name, rf"\A{re.escape(stem)}\.([0-9]{{1,9}}){re.escape(ext)}\z", 1
+        file_name, rf"\A{re.escape(stem)}\.([1-9][0-9]{{0,17}}){re.escape(ext)}\z", 1
     )
-    age = F.when(file_name == name, F.lit(0)).when(number != "", number.cast("int"))
-    chain = text.select(
+    age = F.when(file_name == name, F.lit(0)).when(number != "", number).cast("long")
+    within = age.isNotNull() & (age <= max_files) if max_files > 0 else age.isNotNull()
+    # Files are chosen by name before lines are numbered, so that no other file is opened.
+    return text.filter(within).select(
         F.col("value").alias("line"), age.alias("age"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
     )
-    present = (F.col("age") == 0) | (F.col("age") >= 1)
-    within = present & (F.col("age") <= max_files) if max_files > 0 else present
-    return chain.filter(within)
 
 
 def chain_positions(chain: DataFrame) -> DataFrame:
@@ -95,9 +95,12 @@ def parse_jsonl(lines: DataFrame, json_only: bool = True) -> DataFrame:
     """The 11 record columns of each ``line``, other columns kept.
 
     Lines that are no JSON object are dropped, or keep null columns with ``json_only=False``.
+    Severity and facility take the case in which this package writes them, so that filters compare
+    them as they are; ``line`` keeps what was read.
     """
     kept = lines.filter(drop_bad_lines("line", json_only))
-    record = F.from_json("line", RECORD)
-    return kept.withColumn("_record", record).select(
-        *lines.columns, *[F.col(f"_record.{f.name}").alias(f.name) for f in RECORD.fields]
+    case = {"severity": F.upper, "facility": F.lower}
+    return kept.withColumn("_record", F.from_json("line", RECORD)).select(
+        *lines.columns,
+        *[case.get(f.name, lambda c: c)(F.col(f"_record.{f.name}")).alias(f.name) for f in RECORD.fields],
     )

@@ -37,17 +37,17 @@ class LogTable:
         """Newest generation with a line starting at or before ``pos``."""
         return self._starts.filter(F.col("start") <= pos).agg(F.max("generation")).first()[0]
 
+    def between(self, lo: int, hi: int) -> DataFrame:
+        """Rows of the generations from ``lo`` to ``hi``; no others are read."""
+        return self.rows.filter(F.col("generation").between(lo, hi))
+
     def _grow(self, lo: int, hi: int, count: int, newest: bool, page) -> DataFrame:
         span = 1
         while True:
-            near = (
-                self.rows.filter(F.col("generation").between(max(lo, hi - span + 1), hi))
-                if newest else
-                self.rows.filter(F.col("generation").between(lo, min(hi, lo + span - 1)))
-            )
-            found = page(near)
-            if span > hi - lo or found.select("pos").count() >= count:
-                return found
+            ends = (max(lo, hi - span + 1), hi) if newest else (lo, min(hi, lo + span - 1))
+            rows = page(self.between(*ends)).collect()  # at most ``count`` rows: the page itself
+            if span > hi - lo or len(rows) >= count:
+                return self.rows.sparkSession.createDataFrame(rows, self.rows.schema)
             span *= 4
 
     def forward(

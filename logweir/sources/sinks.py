@@ -1,5 +1,10 @@
 """Writers: text and JSONL segments, the parquet log table, forwarded payloads."""
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +12,11 @@ from logweir.functions.text import octets, sanitize_utf8
 from logweir.operators.parse import to_jsonl
 from logweir.operators.segments import generation_name
 from logweir.schemas import LOG
+from logweir.sources import files
+
+# Task functions travel with the job, so executors need no installed copy of this package.
+for _module in (sys.modules[__name__], files):
+    cloudpickle.register_pickle_by_value(_module)
 
 FILE_BYTES = 256 << 20  # most bytes of one segment written by one task
 
@@ -79,23 +89,41 @@ def deliver(forwards: DataFrame, path: str, mode: str = "overwrite") -> None:
     forwards.write.mode(mode).partitionBy("target").parquet(path)
 
 
-def drop_expired(spark: SparkSession, path: str, routes: DataFrame) -> int:
-    """Delete the segment folders of a log table that retention no longer keeps; returns how many.
+def drop_segments(gone: DataFrame, out: str, outputs: tuple[str, ...] = ("logs", "jsonl", "text")) -> int:
+    """Delete the folders of ``gone`` (batch, sink, generation) rows in every output; returns how many.
 
-    Works on the folder listing: partitions, not rows.
+    A null batch stands for a table without batches. Tasks delete, spread over the cluster.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stored = read_logs(spark, path).select("sink", "generation").distinct()
-    expired = generation_name(stored).join(
-        F.broadcast(routes.select("sink", "max_files")), "sink"
-    ).filter((F.col("max_files") > 0) & (F.col("age") > F.col("max_files")))
-    dropped = 0
-    for row in expired.select("sink", "generation").toLocalIterator():
-        for status in files.globStatus(
-            jvm.org.apache.hadoop.fs.Path(root, f"sink={row.sink}/generation={row.generation}")
-        ) or []:
-            files.delete(status.getPath(), True)
-            dropped += 1
-    return dropped
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped = 0
+        for found in batches:
+            for row in found.to_pylist():
+                batch = "" if row["batch"] is None else f"/batch={row['batch']}"
+                for output in outputs:
+                    part = f"sink={_escaped(row['sink'])}/generation={row['generation']}"
+                    dropped += files.delete(f"{out}/{output}{batch}/{part}")
+        yield pa.RecordBatch.from_pydict({"dropped": [dropped]})
+
+    removed = gone.mapInArrow(delete, "dropped long").agg(F.sum("dropped")).first()[0]
+    return removed or 0
+
+
+#: Characters that a partition folder's name holds as % and two hexadecimal digits.
+_ESCAPED = set("\"#%'*/:=?\\{[]^") | {chr(c) for c in (*range(1, 32), 127)}
+
+
+def _escaped(name: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in name)
+
+
+def drop_expired(spark: SparkSession, path: str, routes: DataFrame) -> int:
+    """Delete the segment folders of a log table, with batch folders or without, that retention no
+    longer keeps; returns how many."""
+    logs = read_logs(spark, path)
+    batch = F.col("batch") if "batch" in logs.columns else F.lit(None)
+    stored = logs.select("sink", "generation", batch.cast("long").alias("batch")).distinct()
+    expired = generation_name(stored).join(routes.select("sink", "max_files"), "sink").filter(
+        (F.col("max_files") > 0) & (F.col("age") > F.col("max_files"))
+    )
+    out, _, name = path.rpartition("/")
+    return drop_segments(expired.select("batch", "sink", "generation"), out, (name,))

@@ -13,15 +13,19 @@ from logweir.sources.chain import parse_jsonl
 
 
 def follow_log(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+    sink: str | None = None,
 ) -> DataFrame:
     """New JSONL lines of a segment folder, parsed; the query's checkpoint is the cursor.
 
-    Segments are written once and never renamed, so rotation adds files and repeats none.
+    Batches appear whole and are written once, so rotation adds files and repeats none. ``sink`` follows
+    one sink of the folder that ingest writes.
     """
     reader = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if sink is not None:
+        path = f"{path}/batch=*/sink={sink}"
     return parse_jsonl(reader.text(path).withColumnRenamed("value", "line"))
 
 

@@ -1,10 +1,13 @@
-"""Continuous parse, route and write, and continuous forwarding.
+"""Continuous parse, route, write and expire, and continuous forwarding.
 
-Every micro-batch writes its own ``batch=N`` folder by overwriting it, so a batch that is run again
-after a failure leaves the same rows. The state a batch continues from (bytes and generation per
-sink) is the table its predecessor wrote; nothing is held in one task or on the driver.
+Every micro-batch has its own ``batch=N`` folder in each output. A folder is written aside and moved to
+its place when it is whole, and a batch that is run again after a failure keeps what is there, so
+followers see each row once. The state a batch continues from (bytes and generation per sink) is the table
+its predecessor wrote; nothing is held in one task or on the driver.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +17,10 @@ from logweir.operators.positions import segment_table
 from logweir.operators.routing import forward, route
 from logweir.operators.segments import assign_generations
 from logweir.session import materialize, scratch_scope
-from logweir.sources.sinks import deliver, read_logs, to_logs, write_jsonl, write_logs
+from logweir.sources import files
+from logweir.sources.sinks import (
+    deliver, drop_segments, read_logs, to_logs, write_jsonl, write_logs, write_text,
+)
 
 STATE = "sink string, text_bytes long, json_bytes long, generation long, total long"
 
@@ -44,7 +50,7 @@ def _next_state(logs: DataFrame, before: DataFrame | None) -> DataFrame:
 
 
 def segment_batch(
-    logs: DataFrame, routes: DataFrame, before: DataFrame | None = None, exact: bool = True
+    logs: DataFrame, routes: DataFrame, before: DataFrame | None = None
 ) -> DataFrame:
     """Add ``generation`` and ``pos`` to one batch of log rows, going on from the state before it."""
     # Routing rules and state have one row per sink.
@@ -53,7 +59,7 @@ def segment_batch(
     )
     carry = None if before is None else before.drop("total")
     placed = assign_generations(
-        limited, F.col("_limit"), carry, exact, sums={"pos": "nbytes"}
+        limited, F.col("_limit"), carry, sums={"pos": "nbytes"}
     )
     if before is None:
         return placed.drop("_limit")
@@ -66,51 +72,106 @@ def segment_batch(
     ).drop("_limit", "_base", "_open")
 
 
+def _once(path: str, write: Callable[[str], None]) -> None:
+    """Write a batch folder aside and move it to its place, unless an earlier run has done so."""
+    if files.exists(path):
+        return
+    folder, name = path.rsplit("/", 1)
+    staged = f"{folder}/_staged-{name.replace('=', '-')}"  # hidden from readers
+    write(staged)
+    files.publish(staged, path)
+
+
 def write_batch(
-    datagrams: DataFrame, batch: int, routes: DataFrame, out: str, jsonl: bool = True
+    datagrams: DataFrame, batch: int, routes: DataFrame, out: str, text: bool = True,
+    jsonl: bool = True,
 ) -> None:
-    """Parse, route, segment and write one batch."""
+    """Parse, route, segment, write and expire one batch.
+
+    A sink's text and JSONL are written where its rule says so; ``text`` and ``jsonl`` switch an output
+    off for all sinks.
+    """
+    if files.exists(f"{out}/state/batch={batch}"):
+        return  # the state is written last
     with scratch_scope(datagrams.sparkSession):
-        _write_batch(datagrams, batch, routes, out, jsonl)
+        _write_batch(datagrams, batch, routes, out, text, jsonl)
 
 
 def _write_batch(
-    datagrams: DataFrame, batch: int, routes: DataFrame, out: str, jsonl: bool
+    datagrams: DataFrame, batch: int, routes: DataFrame, out: str, text: bool, jsonl: bool
 ) -> None:
     spark = datagrams.sparkSession
-    # The line is built once per message, before the fan-out; routing rules are one row per sink.
-    routed = route(to_jsonl(parse_syslog(datagrams)), routes).join(
-        F.broadcast(routes.select("sink", "write_text", "write_jsonl")), "sink"
-    )
+    # The line is built once per message, before the fan-out; the outputs come with the rule.
+    routed = route(to_jsonl(parse_syslog(datagrams)), routes, "write_text", "write_jsonl")
     logs = materialize(to_logs(routed).drop("write_text", "write_jsonl"), "batch-logs")
     before = _previous_state(spark, out, batch)
-    cut = segment_batch(logs, routes, before)
-    write_logs(cut, f"{out}/logs/batch={batch}")
+    _once(f"{out}/logs/batch={batch}", lambda path: write_logs(segment_batch(logs, routes, before), path))
     written = read_logs(spark, f"{out}/logs/batch={batch}")
+    # An output that a sink does not write has no bytes there.
     if jsonl:
-        write_jsonl(written, f"{out}/jsonl/batch={batch}")
-    segment_table(written, ["sink"]).write.mode("overwrite").parquet(
-        f"{out}/segments/batch={batch}"
+        _once(f"{out}/jsonl/batch={batch}", lambda path: write_jsonl(written.filter("json_bytes > 0"), path))
+    if text:
+        _once(f"{out}/text/batch={batch}", lambda path: write_text(written.filter("text_bytes > 0"), path))
+    _once(f"{out}/segments/batch={batch}", lambda path: segment_table(written, ["sink"]).write.mode("overwrite").parquet(path))
+    state = materialize(_next_state(written, before), "batch-state")
+    expire(spark, out, routes, state, before)
+    _once(f"{out}/state/batch={batch}", lambda path: state.write.mode("overwrite").parquet(path))
+
+
+def expire(
+    spark: SparkSession, out: str, routes: DataFrame, state: DataFrame, before: DataFrame | None
+) -> int:
+    """Delete what retention lets go between two states, in every batch and output; how many folders.
+
+    The segment table says which batches a generation is in, so nothing is listed, and only generations
+    that became too old since the state before are touched. Tasks delete; a repeated one finds nothing.
+    """
+    newest = state.select("sink", F.col("generation").alias("_newest"))
+    limits = routes.select("sink", "max_files").filter("max_files > 0").join(newest, "sink")
+    if before is None:
+        limits = limits.withColumn("_older", F.lit(-1).cast("long"))
+    else:
+        limits = limits.join(
+            before.select("sink", F.col("generation").alias("_older")), "sink", "left"
+        )
+    last = F.col("_newest") - F.col("max_files")
+    first = F.coalesce("_older", F.lit(-1).cast("long")) - F.col("max_files")
+    segments = spark.read.schema(f"{SEGMENTS}, batch long").parquet(f"{out}/segments")
+    gone = segments.join(limits, "sink").filter(
+        (F.col("generation") < last) & (F.col("generation") >= first)
+    ).select("batch", "sink", "generation").distinct()
+    return drop_segments(gone, out)
+
+
+#: A row of the segment table; it is partitioned by batch.
+SEGMENTS = "sink string, generation long, start long, size long, lines long"
+
+
+def read_segments(
+    spark: SparkSession, out: str, routes: DataFrame | None = None
+) -> DataFrame:
+    """Start, size and line count of every segment part written; with ``routes`` of those retained."""
+    parts = spark.read.schema(SEGMENTS).parquet(f"{out}/segments")
+    if routes is None:
+        return parts
+    newest = parts.groupBy("sink").agg(F.max("generation").alias("_newest"))
+    kept = newest.join(routes.select("sink", "max_files"), "sink").select(
+        "sink", F.when(F.col("max_files") > 0, F.col("_newest") - F.col("max_files"))
+        .otherwise(0).alias("_oldest")
     )
-    _next_state(written, before).write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
-
-
-def read_segments(spark: SparkSession, out: str) -> DataFrame:
-    """Start, size and line count of every segment part written so far."""
-    return spark.read.schema(
-        "sink string, generation long, start long, size long, lines long"
-    ).parquet(f"{out}/segments")
+    return parts.join(kept, "sink").filter("generation >= _oldest").drop("_oldest")
 
 
 def start_ingest(
     stream: DataFrame, routes: DataFrame, out: str, checkpoint: str,
-    trigger: dict | None = None, jsonl: bool = True,
+    trigger: dict | None = None, text: bool = True, jsonl: bool = True,
 ) -> StreamingQuery:
-    """Datagrams to ``out/logs`` (parquet) and ``out/jsonl`` as they arrive."""
+    """Datagrams to ``out/logs`` (parquet), ``out/jsonl`` and ``out/text`` as they arrive, each sink in
+    the outputs that its rule names, old segments going as its ``max_files`` says."""
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda df, batch: write_batch(df, batch, routes, out, jsonl))
+        .foreachBatch(lambda df, batch: write_batch(df, batch, routes, out, text, jsonl))
         .start()
     )
 

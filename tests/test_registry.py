@@ -10,15 +10,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from logweir.plans import oracles, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "conversations")
 QUICK = (
-    "parse_all", "parse_documents", "compiled_routes", "route_fanout", "forward_truncated",
+    "parse_all", "parse_documents", "route_fanout", "forward_truncated",
     "jsonl_documents", "filter_combined", "page_forward_summary", "search_numbered",
-    "segments_exact", "stored_tail", "grid_view_local", "completeness",
+    "segments_exact", "stored_tail", "log_chain_all", "chain_tail", "grid_view_local", "completeness",
 )
-NAMES = sorted(entry_points.queries()) if os.environ.get("LOGWEIR_ALL_QUERIES") else QUICK
+NAMES = sorted(registry.queries()) if os.environ.get("LOGWEIR_ALL_QUERIES") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -30,7 +31,8 @@ def normal(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(registry.queries()) == set(oracles.sql())
+    assert set(registry.queries()) <= set(entry_points.queries())
 
 
 def test_entry(spark):

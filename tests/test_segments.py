@@ -51,10 +51,11 @@ def test_no_limit_is_one_segment(spark):
     assert {r.generation for r in assign_generations(mixed, F.col("m")).collect()} == {0}
 
 
-def test_prefix_cuts(spark):
-    frame = spark.createDataFrame([("s", i, 0, 40) for i in range(10)], SIZES)
-    got = assign_generations(frame, 100, exact=False).orderBy("seq").collect()
-    assert [r.generation for r in got] == [i * 40 // 100 for i in range(10)]
+def test_sink_without_outputs_stays_in_one_segment(spark):
+    rows = [("none", i, 0, 0) for i in range(50)] + [("s", i, 0, 40) for i in range(10)]
+    got = assign_generations(spark.createDataFrame(rows, SIZES), 100).orderBy("seq").collect()
+    assert {r.generation for r in got if r.sink == "none"} == {0}
+    assert [r.generation for r in got if r.sink == "s"] == [i // 3 for i in range(10)]
 
 
 @pytest.mark.parametrize("keep, want", [(3, {2, 3, 4, 5}), (0, {0, 1, 2, 3, 4, 5}), (9, {0, 1, 2, 3, 4, 5})])

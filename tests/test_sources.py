@@ -28,6 +28,8 @@ def test_chain_order_and_bytes(spark, tmp_path):
     put(tmp_path, "log.11.jsonl", b"too old\n")
     put(tmp_path, "log.x.jsonl", b"no generation\n")
     put(tmp_path, "logs.jsonl", b"another log\n")
+    put(tmp_path, "log.0.jsonl", b"no rotated file\n")
+    put(tmp_path, "log.01.jsonl", b"nor this\n")
     want = [
         (2, 0, '{"n":0}'), (2, 8, '{"n":1}\r'), (2, 18, '{"n":2}'),
         (0, 26, '{"n":"é"}'), (0, 37, "last without newline"),
@@ -105,7 +107,7 @@ def test_log_table_pages_equal_plain_pages(spark, tmp_path):
     assert ids(table.search("LINE 19", 3)) == [19, 190, 191]
     assert table.search_count("line 19").first()[0] == 11
     assert ids(LogTable(spark, path, "none").tail(5)) == []
-    plan = table.tail(3)._jdf.queryExecution().executedPlan().toString()
+    plan = table.between(8, 9)._jdf.queryExecution().executedPlan().toString()
     assert "generation" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
@@ -143,3 +145,18 @@ def test_text_and_json_sinks(spark, tmp_path):
         "sink=a/generation=0": ["one"], "sink=a/generation=1": ["caf�"], "sink=b/generation=0": ["two"],
     }
     assert files(f"{tmp_path}/j")["sink=a/generation=1"] == ["L2"]
+
+
+def test_severity_and_facility_take_the_stored_case(spark):
+    rows = parse_jsonl(spark.createDataFrame([('{"severity":"error","facility":"AUTH"}',), ("{broken",), ("[1]",)], "line string"))
+    assert [(r.severity, r.facility) for r in rows.collect()] == [("ERROR", "auth")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from logweir.session import scratch_dir
+
+    settings = {"spark.master": "yarn"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=settings.get)))

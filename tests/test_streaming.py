@@ -1,11 +1,13 @@
 import datetime
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweir.operators import paging
 from logweir.operators.parse import parse_syslog
+from logweir.operators.segments import retain
 from logweir.operators.routing import forward, route
 from logweir.schemas import DATAGRAM, FORWARD_RULE, ROUTE
 from logweir.sources.datagrams import read_datagrams, stream_datagrams
@@ -29,9 +31,9 @@ def land(spark, path, lo, hi):
     spark.createDataFrame(rows, DATAGRAM).coalesce(1).write.mode("append").parquet(path)
 
 
-def rules(spark):
+def rules(spark, keep=0):
     return spark.createDataFrame([
-        ("all", "*", True, True, True, 2_000, 3), ("auth", "auth", False, False, True, 500, 2),
+        ("all", "*", True, True, True, 2_000, keep), ("auth", "auth", False, False, True, 500, keep),
         ("endless", "*", False, True, False, None, 0),
     ], ROUTE)
 
@@ -68,8 +70,14 @@ def test_ingest_in_batches_equals_one_batch(spark, tmp_path):
     scratch = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
     assert not [f for f in os.listdir(scratch) if f.startswith("scope-")]
 
-    # A batch that runs again leaves the same table.
+    # A batch that runs again leaves the same files, so followers see no row twice; so does one that
+    # was lost before its state was written.
+    before = parts(out)
     write_batch(read_datagrams(spark, landing).filter("seq >= 100"), 2, rules(spark), out)
+    assert parts(out) == before
+    shutil.rmtree(f"{out}/state/batch=2")
+    write_batch(read_datagrams(spark, landing).filter("seq >= 100"), 2, rules(spark), out)
+    assert parts(out) == before
     assert key(read_ingested(spark, out)) == want
 
     lines = follow_log(spark, f"{out}/jsonl")
@@ -84,6 +92,42 @@ def test_ingest_in_batches_equals_one_batch(spark, tmp_path):
     assert sorted(r.seq for r in got) == list(range(100, 170))
 
 
+def parts(out):
+    return sorted(
+        os.path.join(root, n) for output in ("logs", "jsonl", "text", "segments")
+        for root, _, names in os.walk(f"{out}/{output}") for n in names if n.startswith("part-")
+    )
+
+
+def test_each_sink_is_written_and_expired_as_its_rule_says(spark, tmp_path):
+    landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for lo, hi in ((0, 60), (60, 100), (100, 170)):
+        land(spark, landing, lo, hi)
+    start_ingest(
+        stream_datagrams(spark, landing, 1), rules(spark, 2), out, f"{tmp_path}/c"
+    ).awaitTermination()
+    rows = read_ingested(spark, out)
+    whole = to_logs(route(parse_syslog(read_datagrams(spark, landing)), rules(spark), "write_text", "write_jsonl"))
+    want = segment_batch(whole.drop("write_text", "write_jsonl"), rules(spark))
+    kept = key(retain(want.filter("sink <> 'endless'"), 2)) + key(want.filter("sink = 'endless'"))
+    assert key(rows) == sorted(kept)
+
+    def written(output, column):
+        text = spark.read.option("lineSep", "\n").text(f"{out}/{output}")
+        return sorted((r.sink, r.generation, r.value) for r in text.collect()), sorted(
+            (r.sink, r.generation, r[column].decode() if column == "raw" else r[column])
+            for r in rows.filter(f"{'text' if column == 'raw' else 'json'}_bytes > 0").collect())
+
+    for output, column, sinks in (("text", "raw", {"all", "endless"}), ("jsonl", "line", {"all", "auth"})):
+        got, wanted = written(output, column)
+        assert got == wanted and {sink for sink, *_ in got} == sinks
+    segments = read_segments(spark, out, rules(spark, 2))
+    pairs = lambda df: {(r.sink, r.generation) for r in df.select("sink", "generation").collect()}
+    assert pairs(segments) == pairs(rows)
+    one = collect(spark, follow_log(spark, f"{out}/jsonl", sink="auth").select("line"), tmp_path, "auth")
+    assert sorted(r.line for r in one) == sorted(r.line for r in rows.filter("sink = 'auth'").collect())
+
+
 def collect(spark, stream, tmp_path, name):
     out = f"{tmp_path}/{name}"
     schema = stream.schema
