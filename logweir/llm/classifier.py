@@ -217,7 +217,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found = network.score(x) if network else np.full(len(x), state)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["row", "quality_score"])
 
-    return own.mapInArrow(score, T.StructType([own.schema["row"], T.StructField("quality_score", T.DoubleType())]))
+    return arrow_map(own, score, T.StructType([own.schema["row"], T.StructField("quality_score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

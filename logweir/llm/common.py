@@ -1,11 +1,14 @@
 """What the text operators share: words, the shared work folder, prefix sums over range partitions."""
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweir.session import scratch_dir
 
@@ -35,9 +38,28 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df`` through a function of an iterator of Arrow batches, in no need of pandas."""
-    return df.mapInArrow(function, schema)
+def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """``df`` through a function of an iterator of Arrow batches, in no need of pandas.
+
+    Workers outlive their tasks, so what a task has held goes back to the system at its end.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
+def release() -> None:
+    """Hand memory that is free again back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:

@@ -21,7 +21,7 @@ UNIGRAM, BPE = 1, 2
 MARK = "▁"
 
 #: Threads that encode a batch, and segments that a task keeps.
-THREADS, KNOWN = 2, 800_000
+THREADS, KNOWN = 2, 300_000
 
 
 @dataclass
