@@ -321,6 +321,20 @@ def test_noise_goes_and_clean_text_stays(spark):
     assert perplexity.quality(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [1, 10, 30])
+def test_noise_does_not_widen_its_band(spark, percent):
+    rng = np.random.default_rng(6)
+    stock = [" ".join("".join(rng.choice(["the", "ing", "on", "ed", "re"], 2)) for _ in range(8)) for _ in range(400)]
+    rows = [(i, ". ".join(stock[int(k)] for k in rng.integers(0, 400, 12)), "en", "a") for i in range(200)]
+    bad = 200 * percent // (100 - percent)
+    for i in range(1000, 1000 + max(1, bad)):
+        noise = "".join(chr(c) for c in rng.integers(97, 123, 600))
+        rows.append((i, " ".join(noise[k:k + 5] for k in range(0, 600, 5)), "en", "a"))
+    got = {r["doc_id"]: r["kept"] for r in perplexity.quality(docs(spark, rows)).collect()}
+    assert not any(kept for i, kept in got.items() if i >= 1000)
+    assert sum(kept for i, kept in got.items() if i < 1000) >= 195
+
+
 # Token files
 
 def test_token_files(spark, corpus):
