@@ -22,6 +22,8 @@ LINKS_IN_ARTICLE, LINKS = 0.6, 0.33
 SHORT, LONG = 70, 200
 #: Shares of stop words that make a long block text, and a middling one.
 STOPS_LOW, STOPS_HIGH = 0.2, 0.3
+#: Share of stop words that makes any but a short block text in an article; a long one below it is none.
+STOPS_IN_ARTICLE = 0.05
 
 # Common words of four languages, elements of HTML, names that page parts usually bear.
 STOP_WORDS = frozenset("""
@@ -165,22 +167,20 @@ def _clean(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
 
-def label(text: str, linked: int, region: bool, chosen: bool, heading: bool) -> int:
-    """First pass: text, furniture or open. ``region`` says that the page has a part for its article, and
-    ``chosen`` that the block is in it."""
+def label(text: str, linked: int, chosen: bool, heading: bool) -> int:
+    """First pass: text, furniture or open. ``chosen`` says that the block is in the part of the page that is
+    marked as its article, where more links and fewer stop words will do."""
     share = linked / max(1, len(text))
-    if region:
-        if not chosen:
-            return BAD
-        return GOOD if share <= LINKS_IN_ARTICLE else OPEN if len(text) < SHORT else BAD
-    if share > LINKS:
-        return BAD
+    if share > (LINKS_IN_ARTICLE if chosen else LINKS):
+        return OPEN if chosen and len(text) < SHORT else BAD
     if heading:
         return OPEN
     if len(text) < SHORT:
-        return BAD if linked else OPEN
+        return BAD if linked and not chosen else OPEN
     own = _WORDS.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in own) / max(1, len(own))
+    if chosen:
+        return GOOD if stops >= STOPS_IN_ARTICLE else BAD if len(text) >= LONG else OPEN
     if stops >= STOPS_HIGH or stops >= STOPS_LOW and len(text) >= LONG:
         return GOOD
     return OPEN if stops >= STOPS_LOW else BAD
@@ -218,11 +218,20 @@ def main_text(page: str | None) -> str:
             found.append(b)
     usable = [b for b in found if not b.dropped]
     kind = next((k for k in ("article", "main", "named") if any(getattr(b, k) for b in usable)), None)
-    labels = []
-    for b, text in zip(found, texts, strict=True):
-        linked = len(_clean(b.linked)) if b.linked else 0
-        labels.append(BAD if b.dropped else label(text, linked, kind is not None, kind is not None and getattr(b, kind), b.heading))
-    final = settled(labels, GOOD if kind or not any(labels) else BAD, [b.heading for b in found])
+    chosen = [kind is not None and not b.dropped and getattr(b, kind) for b in found]
+    labels, linked = [], [len(_clean(b.linked)) if b.linked else 0 for b in found]
+    for b, text, n, inside in zip(found, texts, linked, chosen, strict=True):
+        labels.append(BAD if b.dropped else label(text, n, inside, b.heading))
+    if kind and GOOD not in labels:  # a language whose stop words are not known, or only short blocks
+        labels = [GOOD if inside and n <= LINKS_IN_ARTICLE * len(text) else own
+                  for text, n, inside, own in zip(texts, linked, chosen, labels, strict=True)]
+    final = [BAD] * len(found)
+    for inside in (True, False):  # open blocks follow neighbours on their own side of the article's bounds
+        at = [i for i, own in enumerate(chosen) if own == inside]
+        own = [labels[i] for i in at]
+        tie = GOOD if inside or kind is None and not any(own) else BAD
+        for i, one in zip(at, settled(own, tie, [found[i].heading for i in at]), strict=True):
+            final[i] = one
     return "\n".join(t for t, own in zip(texts, final, strict=True) if own == GOOD)
 
 

@@ -68,6 +68,18 @@ def test_main_text_without_an_article_element():
     assert main_text.main_text(page) == f"Head\n{text}\nShort one.\n{text}"
 
 
+def test_a_story_beside_a_teaser_article():
+    text = "It was the best of times and it was the worst of times, and so he had to go to the house with the cat."
+    for teaser in ("<article><a href=t>Another story</a></article>", "<div class='post-date'>2 May</div>",
+                   "<article><h3>Another story</h3><p><a href=t>Read about it in the other place</a></p></article>"):
+        page = f"<ul><li><a href=a>Home</a></ul><h1>Head</h1><div><p>{text}</p><p>Short one.</p><p>{text}</p></div>{teaser}"
+        assert f"Head\n{text}\nShort one.\n{text}" in main_text.main_text(page)
+    advert = "Buy cheap premium watches online today! Huge discount vouchers, free shipping worldwide, order now " * 3
+    assert main_text.main_text(f"<article><p>{text}</p><p>{advert}</p><p>{text}</p><p>End.</p></article>") == f"{text}\n{text}\nEnd."
+    foreign = "Lorem dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua enim minim"
+    assert main_text.main_text(f"<p>Menu</p><article><h1>Lorem</h1><p>{foreign}</p></article><p>Menu</p>") == f"Lorem\n{foreign}"
+
+
 @pytest.mark.parametrize("page", ["", None, "<!--", "<p", "<script>", "<!-- a --", "<a href=\"", "</div></div>", "<p>" * 500])
 def test_broken_pages(page):
     assert main_text.main_text(page) == ""
