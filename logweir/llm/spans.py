@@ -14,8 +14,9 @@ from logweir.llm.common import arrow_map, rows_of
 
 #: A run holds at least two sentences and eight words, and no sentence that could be left out at either end.
 SENTENCES, WORDS = 2, 8
-#: A longer sentence is cut into pieces of so many words, counted from its start; pieces count as sentences.
-LONGEST = 25
+#: A longer sentence is cut into pieces, which count as sentences, before the words of least hash in any
+#: ``NEAR`` words in a row: so by its words alone, at any offset, and into at most ``NEAR`` words a piece.
+LONGEST, NEAR = 25, 16
 #: Runs that a task compares among themselves before it sends them on.
 GATHERED = 1_000_000
 
@@ -37,10 +38,28 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, list[str]]]:
         else:
             starts = [w.start() for w in _WORD.finditer(text, m.start(), m.end())]
             raw = [w.lower() for w in m.group().split()]
-            found += [(starts[i], raw[i:i + longest]) for i in range(0, len(raw), longest)]
+            places = cuts(raw)
+            found += [(starts[i], raw[i:j]) for i, j in zip(places, [*places[1:], len(raw)], strict=True)]
     return found
 
 
+def cuts(own: list[str]) -> list[int]:
+    """First words of the pieces of a sentence: its first, and the last word of least hash in each window of
+    ``NEAR``. Two sentences that share a passage are cut alike in it, but for ``NEAR`` words at its ends."""
+    if len(own) <= NEAR:
+        return [0]
+    # A word's hash goes with those of the two before it, since a common word alone would cut too often.
+    single = np.array([xxhash.xxh3_64_intdigest(w) for w in own], np.uint64)
+    hashes = single * _BASES[0]
+    hashes[1:] += single[:-1] * _BASES[1]
+    hashes[2:] += single[:-2]
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], NEAR)
+    least = len(own) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))
+    return [0, *np.unique(least[least > 0]).tolist()]
+
+
 def runs(counts: list[int], least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """First and last sentence of every run: from each sentence the shortest forward and the shortest back
     that has enough sentences and words. A repeated passage is covered to both its ends by such runs."""

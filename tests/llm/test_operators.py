@@ -143,6 +143,29 @@ def test_sentences_lose_no_word():
         assert [w for _, u in spans.sentences(text) for w in u] == text.lower().split()
 
 
+def test_a_repeat_inside_long_sentences_goes_at_any_offset(spark):
+    rng = np.random.default_rng(11)
+    rows, longest = [], 0
+    for i in range(40):
+        own = words(rng, 60)
+        rows.append((i, " ".join(words(rng, 40) + own + words(rng, 40)), "en", "a"))
+        rows.append((100 + i, " ".join(words(rng, 30 + i) + own + words(rng, 35)), "en", "a"))
+    clean = {r["row"]["doc_id"]: r["clean"].split() for r in spans.cleaned(docs(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        own, left = text.split(), clean[i]
+        if i < 100:
+            assert left == own
+        else:  # brute force: of the 60 words in common only those near the ends stay, and no other word goes
+            head, tail = own[:i - 70], own[i - 10:]
+            assert left[:len(head)] == head and left[-len(tail):] == tail
+            assert len(left) - len(head) - len(tail) <= 2 * spans.NEAR + 2
+            longest = max(longest, len(left) - len(head) - len(tail))
+    assert 0 < longest
+    own = words(rng, 200)
+    at = [*spans.cuts(own), 200]
+    assert at[0] == 0 and 0 < min(np.diff(at)) and max(np.diff(at)) <= spans.NEAR
+
+
 def test_rewritten_keeps_columns(spark, corpus):
     table = docs(spark, corpus)
     out = spans.rewritten(table)
