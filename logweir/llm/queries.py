@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import classifier, main_text, mixing, near, perplexity, pieces, spans, token_files, topk, warc
+from logweir.llm import (
+    centroids, classifier, licences, main_text, mixing, near, perplexity, pieces, spans, token_files, topk, variants, warc,
+)
 from logweir.llm.common import table
 
 
@@ -68,6 +70,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted in every document."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -79,12 +96,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries by name."""
     return {f.__name__: f for f in (
         op1_main_text, op2_spans, op3_warc, op4_pieces, op5_mixing, op6_perplexity, op7_token_files, op8_classifier,
-        op9_near, op10_topk, pipeline)}
+        op9_near, op10_topk, op11_variants, op12_centroids, op13_licences, pipeline)}
 
 
 def sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_warc": OP3, "op5_mixing": OP5, "op9_near": OP9, "op10_topk": OP10}
+    return {
+        "op3_warc": OP3, "op5_mixing": OP5, "op9_near": OP9, "op10_topk": OP10, "op11_variants": variants.duckdb_sql(),
+        "op12_centroids": centroids.duckdb_sql(), "op13_licences": licences.duckdb_sql()}
 
 
 OP3 = """
