@@ -1,50 +1,88 @@
 """Byte positions of lines in a log: exact running sums over a total order, without one big window.
 
 The order key is cut into digits of 16 bits. Rows are summed inside one key range, ranges inside a
-range of ranges, and so on, so no window ever holds more than 65,536 rows of one log. Rows are
-shuffled once; the join that adds the bases uses the same partitioning.
+range of ranges, and so on, so no window ever holds more than 65,536 rows of one log. Rows are computed
+and shuffled once, and written with their sums inside the range; the totals of ranges come from that table.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweir.functions.text import octets
+from logweir.operators.joins import BROADCAST_ROWS
+from logweir.session import materialize
 
 DIGIT_BITS = 16
 LEVELS = 4  # four digits hold every non-negative 64-bit key, so no window is larger
 
 
+def _before(sums: dict[str, str], group: list[str | Column], order: str) -> list[Column]:
+    """Totals over the earlier rows of the group."""
+    window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(s).over(window), F.lit(0)).alias(n) for n, s in sums.items()]
+
+
+def _small_sums(df: DataFrame, sums: dict[str, str], by: list[str], order: str, levels: int) -> DataFrame:
+    """:func:`running_sums` over totals of ranges, range upon range, in one plan."""
+    if levels <= 1:
+        return df.select("*", *_before(sums, by or [F.lit(0)], order))
+    ranged = df.withColumn("_range", F.shiftright(order, DIGIT_BITS))
+    group = [*by, "_range"]
+    totals = ranged.groupBy(*group).agg(*[F.sum(s).alias(f"_t_{s}") for s in set(sums.values())])
+    bases = _small_sums(
+        totals.withColumnRenamed("_range", "_key"), {f"_base_{n}": f"_t_{s}" for n, s in sums.items()}, by, "_key", levels - 1
+    ).select(*by, F.col("_key").alias("_range"), *[f"_base_{n}" for n in sums])
+    joined = ranged.select("*", *_before(sums, group, order)).join(bases, group)
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_base_{n}")).alias(n) for n in sums])
+
+
 def running_sums(
     df: DataFrame, sums: dict[str, str], by: list[str], order: str = "seq", levels: int = LEVELS
 ) -> DataFrame:
     """Add, for each ``{new: size}`` pair, the total of ``size`` over the rows before this one.
 
-    ``order`` must be a non-negative whole number, unique within ``by``.
+    ``order`` must be a non-negative whole number, unique within ``by``. The rows are written once, in the
+    order of their ranges, and what follows reads that table: one scan and one evaluation of ``df``.
     """
-    def before(group: list[str]) -> list[Column]:
-        window = Window.partitionBy(*group).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return [F.coalesce(F.sum(s).over(window), F.lit(0)).alias(n) for n, s in sums.items()]
+    return summed_once(df, sums, by, order, levels)[0]
 
-    if levels <= 1:
-        return df.select("*", *before(by or [F.lit(0)]))
 
-    # A key known not to be null adds no null check to the join sides, so the totals, needed on two
-    # levels, are computed once and their shuffle is reused.
+def summed_once(
+    df: DataFrame, sums: dict[str, str], by: list[str], order: str = "seq", levels: int = LEVELS, carried: tuple[str, ...] = (),
+) -> tuple[DataFrame, list[Row] | None]:
+    """:func:`running_sums`, and the totals of the ranges where they are few (null where they are not).
+
+    A row of totals has ``by``, ``_range``, a total ``_t_<size>`` of each size, and ``carried`` columns, which are
+    the same in all rows of a log. It stands for up to 65,536 rows, so a table of many billions has few enough of
+    them to go to the tasks with the plan; beyond BROADCAST_ROWS they are summed and joined as tables.
+    """
+    if levels <= 1:
+        return df.select("*", *_before(sums, by or [F.lit(0)], order)), None
     key = F.coalesce(F.col(order), F.lit(0).cast("long"))
-    ranged = df.withColumn("_range", F.shiftright(key, DIGIT_BITS))
     group = [*by, "_range"]
-    totals = ranged.groupBy(*group).agg(*[F.sum(s).alias(f"_t_{s}") for s in set(sums.values())])
-    renamed = totals.withColumnRenamed("_range", "_key")
-    bases = running_sums(
-        renamed, {f"_base_{n}": f"_t_{s}" for n, s in sums.items()}, by, "_key", levels - 1
-    ).select(*by, F.col("_key").alias("_range"), *[f"_base_{n}" for n in sums])
-    inside = ranged.select("*", *before(group))
+    ranged = df.withColumn("_range", F.shiftright(key, DIGIT_BITS))
+    inside = materialize(ranged.select("*", *_before(sums, group, order)), "ranged")
+    totals = inside.groupBy(*group).agg(*[F.sum(s).alias(f"_t_{s}") for s in set(sums.values())], *[F.first(c).alias(c) for c in carried])
+    found = totals.limit(BROADCAST_ROWS + 1).collect()
+    above = {f"_base_{n}": f"_t_{s}" for n, s in sums.items()}
+    if len(found) <= BROADCAST_ROWS:
+        held, rows = {}, []
+        for row in sorted(found, key=lambda r: r["_range"]):
+            at = held.setdefault(tuple(row[c] for c in by), dict.fromkeys(above, 0))
+            rows.append((*(row[c] for c in group), *(at[n] for n in above)))
+            for n, size in above.items():
+                at[n] += row[size] or 0
+        shape = T.StructType([inside.schema[c] for c in group] + [T.StructField(n, T.LongType()) for n in above])
+        bases = F.broadcast(df.sparkSession.createDataFrame(rows, shape))
+    else:
+        found = None
+        renamed = materialize(totals, "totals").withColumnRenamed("_range", "_key")
+        bases = _small_sums(renamed, above, by, "_key", levels - 1).select(*by, F.col("_key").alias("_range"), *above)
     joined = inside.join(bases, group)
     return joined.select(
         *df.columns, *[(F.col(n) + F.col(f"_base_{n}")).alias(n) for n in sums]
-    )
+    ), found
 
 
 def with_positions(logs: DataFrame, by: list[str] | None = None, order: str = "seq") -> DataFrame:

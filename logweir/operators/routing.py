@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import fixed
-from logweir.operators.joins import join_small
+from logweir.operators.joins import BROADCAST_ROWS, join_small
 
 NO_FACILITY = -1
 _BLANKS = " \t\r\n\v\f"
@@ -73,9 +73,27 @@ def route(parsed: DataFrame, routes: DataFrame, *carried: str) -> DataFrame:
 
     Malformed messages reach only wildcard sinks that keep them.
     """
+    return join_small(_with_code(parsed), _route_keys(routes, *carried), ["_code"]).drop("_code")
+
+
+def _route_keys(routes: DataFrame, *carried: str) -> DataFrame:
     compiled = compile_rules(routes, "sink", "include_malformed", *carried)
-    keys = _join_keys(compiled, F.col("include_malformed")).select("sink", *carried, "_code")
-    return join_small(_with_code(parsed), keys, ["_code"]).drop("_code")
+    return _join_keys(compiled, F.col("include_malformed")).select("sink", *carried, "_code")
+
+
+class Router:
+    """:func:`route` for many batches: the rules are compiled, and their number is looked at, once."""
+
+    def __init__(self, routes: DataFrame, *carried: str):
+        keys = _route_keys(routes, *carried)
+        found = keys.limit(BROADCAST_ROWS + 1).collect()
+        self.few = len(found) <= BROADCAST_ROWS
+        self.keys = routes.sparkSession.createDataFrame(found, keys.schema) if self.few else keys
+
+    def __call__(self, parsed: DataFrame) -> DataFrame:
+        coded = _with_code(parsed)
+        joined = coded.join(F.broadcast(self.keys), "_code") if self.few else join_small(coded, self.keys, ["_code"])
+        return joined.drop("_code")
 
 
 def truncate_payload(raw: Column, limit: Column | int) -> Column:

@@ -14,17 +14,18 @@ and the next row opens a new segment. It is computed here without walking a log
 The tables shrink by the fan-in per level, so all levels together cost little more than the first.
 """
 
+import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from logweir.operators.joins import is_small
-from logweir.operators.positions import running_sums
+from logweir.operators.positions import summed_once
 from logweir.session import materialize
 
 # Task functions travel with the job, so executors need no installed copy of this package.
@@ -156,12 +157,14 @@ def _mark(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
 
 
 def exact_cuts(
-    rows: DataFrame, carry: DataFrame | None = None, fan_in: int | None = None
+    rows: DataFrame, carry: DataFrame | None = None, fan_in: int | None = None,
+    known: tuple[DataFrame, int | None, int | None] | None = None,
 ) -> DataFrame:
     """(sink, fine, first_generation, cuts) for rows of bounded logs.
 
     ``rows`` has sink, text_pos, json_pos, max_bytes, fine and leaf; ``carry`` the state to continue
-    from: sink, text_bytes and json_bytes since the last cut, generation.
+    from: sink, text_bytes and json_bytes since the last cut, generation. ``known``, where it is at hand
+    already: (sink, max_bytes) rows, the last leaf and the largest limit.
     """
     tables = []
 
@@ -172,8 +175,11 @@ def exact_cuts(
         )
         return table.assign(sink=key[0], node=key[1])[[c.split()[0] for c in _TABLE.split(", ")]]
 
-    limits = rows.groupBy("sink").agg(F.first("max_bytes").alias("max_bytes"))
-    depth_of, longest = rows.agg(F.max("leaf"), F.max("max_bytes")).first()
+    if known:
+        limits, depth_of, longest = known
+    else:
+        limits = rows.groupBy("sink").agg(F.first("max_bytes").alias("max_bytes"))
+        depth_of, longest = rows.agg(F.max("leaf"), F.max("max_bytes")).first()
     # A child's table covers at most one limit, so long segments are folded fewer at a time.
     fan_in = fan_in or max(2, min(FAN_IN, FOLD_BYTES // (longest or 1)))
     if depth_of is not None and depth_of > 0:
@@ -242,8 +248,8 @@ def assign_generations(
     sized = _sizes(df).withColumn("max_bytes", limit.cast("long"))
     sums = sums or {}
     given = [*given, *sums]
-    placed = running_sums(
-        sized, {"text_pos": "text_bytes", "json_pos": "json_bytes", **sums}, ["sink"], "seq"
+    placed, totals = summed_once(
+        sized, {"text_pos": "text_bytes", "json_pos": "json_bytes", **sums}, ["sink"], "seq", carried=("max_bytes",)
     )
     place = F.col("text_pos") + F.col("json_pos")
     fine = F.greatest(
@@ -259,7 +265,7 @@ def assign_generations(
         "sink", "text_pos", "json_pos", "max_bytes", "fine", F.col("_leaf").alias("leaf")
     )
     marks = materialize(
-        exact_cuts(materialize(bounded, "segment-rows"), carry, fan_in), "segment-cuts"
+        exact_cuts(bounded, carry, fan_in, _known(df, totals, block_bytes)), "segment-cuts"
     )
     if is_small(marks, BROADCAST_FINE_BLOCKS):
         marks = F.broadcast(marks)
@@ -269,6 +275,24 @@ def assign_generations(
     return joined.select(*given, generation.alias("generation"))
 
 
+def _known(df: DataFrame, totals: list[Row] | None, block_bytes: int) -> tuple[DataFrame, int | None, int | None] | None:
+    """What :func:`exact_cuts` needs to know about each log, from the totals of its ranges."""
+    if totals is None:
+        return None
+    ends: dict[str, list[int]] = {}
+    for row in totals:
+        if row["max_bytes"] is not None and (row["_t_text_bytes"] or row["_t_json_bytes"]):
+            held = ends.setdefault(row["sink"], [row["max_bytes"], 0])
+            held[1] += row["_t_text_bytes"] + row["_t_json_bytes"]
+    last = None
+    for limit, end in ends.values():
+        fine = min(max(min(limit, block_bytes) * FINE_LIMITS, FINE_FLOOR), max(block_bytes, FINE_FLOOR))
+        leaf = (end // fine) // math.floor(max(1, block_bytes / fine))
+        last = leaf if last is None else max(last, leaf)
+    limits = df.sparkSession.createDataFrame([(s, limit) for s, (limit, _) in ends.items()], "sink string, max_bytes long")
+    return limits, last, max((limit for limit, _ in ends.values()), default=None)
+
+
 def latest_generation(df: DataFrame) -> DataFrame:
     """One row per sink: its newest generation."""
     return df.groupBy("sink").agg(F.max("generation").alias("latest"))

@@ -6,8 +6,8 @@ window and exact segments from a recursive query.
 
 from logweir.functions import fixed
 from logweir.plans.settings import (
-    CONSOLE_EXCLUDE, CONSOLE_INCLUDE, FORWARD_RULES, PAGE_AT, PAGE_SINCE, POSITIONS,
-    ROUTES,
+    CONSOLE_EXCLUDE, CONSOLE_INCLUDE, FORWARD_RULES, PAGE_AT, PAGE_SINCE, POLLED, POSITIONS,
+    RARE, ROUTES,
 )
 
 _MONTHS = "|".join(fixed.MONTHS)
@@ -473,6 +473,42 @@ FROM cut GROUP BY sink, generation"""
         "stored_search_total": _segmented(
             f"SELECT count(*) AS total_matches FROM cut WHERE sink = 'main' AND {hit} AND {_ERR}"
         ),
+        "stored_since": _segmented(
+            f"SELECT {_HIT} FROM cut WHERE sink = 'main' AND pos >= {PAGE_SINCE} ORDER BY pos DESC LIMIT 200"
+        ),
+        "stored_rare": _segmented(
+            f"SELECT {_HIT} FROM cut WHERE sink = 'main' AND contains(lower(line), '{RARE.lower()}') "
+            "ORDER BY pos LIMIT 200"
+        ),
+        "stored_locate": _segmented(_locations()),
+        "stored_facet": _segmented(
+            f"SELECT {_facility_label()} AS label, count(*) AS n FROM cut WHERE sink = 'main' GROUP BY 1"
+        ),
+        "stored_segments": _segmented(
+            "SELECT sink, generation, min(pos) AS start, CAST(sum(nbytes) AS BIGINT) AS size, "
+            "count(*) AS lines FROM cut GROUP BY sink, generation"
+        ),
+        "poll_lines": _segmented(
+            f"SELECT CAST((row_number() OVER (ORDER BY pos) - 1) // {fixed.POLL_LINES} AS INTEGER) AS poll, "
+            f"seq, pos FROM cut WHERE sink = '{POLLED}'"
+        ),
+        "ingest_compacted": _segmented(per_segment.replace(
+            "FROM cut", "FROM aged WHERE max_files = 0 OR age <= max_files"
+        )),
+        "ingest_arrivals": _segmented(
+            "SELECT * REPLACE ((SELECT count(*) FROM dg WHERE dg.seq < first_seq) AS first_seq, "
+            "(SELECT count(*) FROM dg WHERE dg.seq < last_seq) AS last_seq) FROM (" + per_segment.replace(
+                "FROM cut", "FROM aged WHERE max_files = 0 OR age <= max_files") + ")"
+        ),
+        "ingest_facets": _segmented(
+            "SELECT sink, severity AS name, count(*) AS n FROM aged "
+            "WHERE max_files = 0 OR age <= max_files GROUP BY sink, severity"
+        ),
+        "ingest_summary": _segmented(
+            "SELECT sink, CAST(sum(nbytes) FILTER (max_files = 0 OR age <= max_files) AS BIGINT) AS kept_bytes, "
+            "count(*) FILTER (max_files = 0 OR age <= max_files) AS kept_lines, "
+            "CAST(sum(nbytes) AS BIGINT) AS tail_offset FROM aged GROUP BY sink"
+        ),
         "stream_follow": _log(f"SELECT {_TEXT} AS text FROM w WHERE {_CONSOLE}"),
         "format_line": _log(f"SELECT seq, {_TEXT} AS text FROM w"),
         "format_line_columns": _log(

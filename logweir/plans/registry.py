@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +24,19 @@ from logweir.operators.segments import assign_generations, generation_name, reta
 from logweir.operators.views import detail_view, format_line, grid_view
 from logweir.plans.corpus import conversation_datagrams, document_datagrams, event_datagrams
 from logweir.plans.settings import (
-    CONSOLE_EXCLUDE, CONSOLE_INCLUDE, FORWARD_RULES, PAGE_AT, PAGE_SINCE, POSITIONS, ROUTES,
+    CONSOLE_EXCLUDE, CONSOLE_INCLUDE, FORWARD_RULES, PAGE_AT, PAGE_SINCE, POLLED, POSITIONS, RARE, ROUTES,
+    STORE_FILE_BYTES,
 )
 from logweir.schemas import DATAGRAM, FORWARD_RULE, RECORD, ROUTE
-from logweir.session import materialize, scratch_dir
+from logweir.session import materialize, session_folder
 from logweir.sources import files
 from logweir.sources.chain import chain_positions, parse_jsonl, read_log_chain
 from logweir.sources.datagrams import read_datagrams, stream_datagrams
-from logweir.sources.log_table import LogTable
 from logweir.sources.sinks import (
     drop_expired, read_logs, to_logs, write_jsonl, write_logs, write_text,
 )
-from logweir.streaming.follow import follow, follow_log, follow_table
+from logweir.sources.store import LogStore
+from logweir.streaming.follow import LinePoll, follow, follow_log, follow_store
 from logweir.streaming.ingest import (
     read_ingested, read_segments, segment_batch, start_forward, start_ingest,
 )
@@ -67,17 +69,26 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return to_jsonl(parsed(spark, sf)).withColumn("nbytes", octets(F.col("line")))
 
 
-def log(spark: SparkSession, sf: str) -> DataFrame:
-    """All messages as one log with positions."""
-    return with_positions(lines(spark, sf), [])
+#: What filters and pages of a log look at.
+SEARCHED = ("seq", "severity", "facility", "line", "nbytes")
+
+
+def log(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """All messages as one log with positions, with the columns a query asks for."""
+    return with_positions(lines(spark, sf).select(*(columns or SEARCHED)), [])
+
+
+def _whole(lines: DataFrame) -> DataFrame:
+    sized = lines.withColumn("nbytes", octets(F.col("line")))
+    return with_positions(sized.select(*SEARCHED), [])
 
 
 def document_log(spark: SparkSession, sf: str) -> DataFrame:
-    return with_positions(to_jsonl(parse_syslog(document_datagrams(spark, sf))), [])
+    return _whole(_documents(spark, sf))
 
 
 def conversation_log(spark: SparkSession, sf: str) -> DataFrame:
-    return with_positions(to_jsonl(parse_syslog(conversation_datagrams(spark, sf))), [])
+    return _whole(to_jsonl(parse_syslog(conversation_datagrams(spark, sf))))
 
 
 def routed_logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +99,7 @@ def routed_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def segmented(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of every sink with generation and position."""
-    return segment_batch(materialize(routed_logs(spark, sf), "routed"), routes(spark))
+    return segment_batch(routed_logs(spark, sf), routes(spark))
 
 
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,13 +110,12 @@ def sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cut_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the exact generation, stored once because several steps read it."""
-    rows = materialize(sizes(spark, sf), "sizes")
-    return assign_generations(rows, F.col("max_bytes"))
+    """The same with the exact generation."""
+    return assign_generations(sizes(spark, sf), F.col("max_bytes"))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -156,11 +166,48 @@ def _stored(spark: SparkSession, sf: str) -> str:
     return path
 
 
-def _stored_log(spark: SparkSession, sf: str) -> LogTable:
-    """The stored log of one sink with its segment table as the index."""
-    path = _stored(spark, sf)
-    segments = materialize(segment_table(read_logs(spark, path), ["sink"]), "segments")
-    return LogTable(spark, path, "main", segments)
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], str]) -> str:
+    """A folder that queries of one session share, made from the given tables when it is first asked for."""
+    key = (spark.conf.get("spark.app.id", ""), sf, name)
+    if key not in _made or not files.exists(_made[key]):
+        _made[key] = make(spark, sf)
+    return _made[key]
+
+
+def new_store(spark: SparkSession, sf: str) -> str:
+    """A log store with all messages of every sink."""
+    out = new_folder(spark, "store")
+    LogStore(spark, out).append(segmented(spark, sf), 0, file_bytes=STORE_FILE_BYTES)
+    return out
+
+
+def store(spark: SparkSession, sf: str) -> LogStore:
+    return LogStore(spark, _once(spark, sf, "store", new_store))
+
+
+def _main(spark: SparkSession, sf: str):
+    return store(spark, sf).sink("main")
+
+
+def _compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of ingest after small files were merged and the merged ones deleted."""
+    held = LogStore(spark, new_ingest(spark, sf))
+    held.compact()
+    held.vacuum(1)
+    return per_segment(held.rows())
+
+
+def _poll_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A sink read poll by poll until a poll has caught up."""
+    poll = LinePoll(store(spark, sf), POLLED, f"poll-{uuid.uuid4().hex}")
+    pages = []
+    while not pages or pages[-1].count() == fixed.POLL_LINES:
+        pages.append(poll.poll())
+    rows = [page.select(F.lit(i).alias("poll"), "seq", "pos") for i, page in enumerate(pages)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _expired_dropped(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,34 +260,42 @@ def _landed(spark: SparkSession, sf: str) -> str:
     return path
 
 
-def _landing_stream(spark: SparkSession, sf: str) -> DataFrame:
+def landed(spark: SparkSession, sf: str) -> str:
+    return _once(spark, sf, "landing", _landed)
+
+
+def _landing_stream(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
     """The landing files as a stream in about as many micro-batches as BATCHES."""
-    path = _landed(spark, sf)
+    path = landed(spark, sf)
     count = sum(n.startswith("part-") for n in files.names(path))
-    return stream_datagrams(spark, path, max(1, count // BATCHES))
+    return stream_datagrams(spark, path, max(1, count // BATCHES), numbered)
 
 
-def _ingested(spark: SparkSession, sf: str) -> str:
+def new_ingest(spark: SparkSession, sf: str, numbered: bool = True) -> str:
     """Where the landed datagrams were ingested, one landing file per micro-batch."""
     out = new_folder(spark, "ingest")
-    start_ingest(_landing_stream(spark, sf), routes(spark), out, f"{out}/checkpoint").awaitTermination()
+    stream = _landing_stream(spark, sf, numbered)
+    start_ingest(stream, routes(spark), out, f"{out}/checkpoint").awaitTermination()
     return out
 
 
-def _ingest_lines(spark: SparkSession, sf: str, output: str) -> DataFrame:
-    schema = "value string, batch long, sink string, generation long"
-    rows = spark.read.schema(schema).option("lineSep", "\n").text(f"{_ingested(spark, sf)}/{output}")
-    return rows.select("sink", "generation", F.col("value").alias("line"))
+def ingested(spark: SparkSession, sf: str) -> LogStore:
+    return LogStore(spark, _once(spark, sf, "ingest", new_ingest))
 
 
 def _ingest_retained(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments that are still there after ingest: in the table of segments, and in the log itself."""
-    out = _ingested(spark, sf)
-    kept = read_segments(spark, out, routes(spark)).groupBy("sink", "generation").agg(F.sum("lines").alias("lines"))
-    there = read_ingested(spark, out).groupBy("sink", "generation").agg(F.count("*").alias("stored_lines"))
+    """Segments that are still there after ingest: in the catalogue, and in the log itself."""
+    held = ingested(spark, sf)
+    kept = held.segments().select("sink", "generation", "lines")
+    there = held.rows().groupBy("sink", "generation").agg(F.count("*").alias("stored_lines"))
     return kept.join(there, ["sink", "generation"], "full").select("sink", "generation", "lines", "stored_lines")
 
 
+def _ingest_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """The same datagrams from a source without numbers."""
+    return per_segment(read_ingested(spark, new_ingest(spark, sf, False)))
+
+
 def _stream_forward(spark: SparkSession, sf: str) -> DataFrame:
     out = new_folder(spark, "forward")
     start_forward(_landing_stream(spark, sf), forward_rules(spark), f"{out}/sent", f"{out}/checkpoint").awaitTermination()
@@ -265,16 +320,17 @@ def _stream_follow(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_follow_sink(spark: SparkSession, sf: str) -> DataFrame:
     """One sink of what ingest wrote, the segments that retention keeps."""
-    out = _ingested(spark, sf)
-    rows = follow_log(spark, f"{out}/jsonl", sink="jobs").select("line")
-    return _shown(spark, rows, f"{out}/follow", "line string")
+    held, out = ingested(spark, sf), new_folder(spark, "follow-sink")
+    kept = held.state().filter("sink = 'jobs'").select("oldest")
+    rows = follow_store(spark, held.out, "jobs").join(F.broadcast(kept), F.col("generation") >= F.col("oldest"))
+    return _shown(spark, rows.select("line"), out, "line string")
 
 
 def _follow_from_end(spark: SparkSession, sf: str) -> DataFrame:
     """The rows that come after half of the log, followed without history."""
-    path, out = _stored(spark, sf), new_folder(spark, "follow-end")
-    total = read_logs(spark, path).filter("sink = 'main'").agg(F.sum("nbytes")).first()[0] or 0
-    rows = follow_table(spark, path, "main", total // 2, 8)
+    held, out = store(spark, sf), new_folder(spark, "follow-end")
+    total = held.state().filter("sink = 'main'").select("total").first()
+    rows = follow_store(spark, held.out, "main", total[0] // 2 if total else 0)
     return _shown(spark, rows.select(*HIT), out, "seq long, pos long, line string")
 
 
@@ -361,11 +417,9 @@ def queries() -> dict[str, Query]:
     ).filter(drop_bad_lines("line", json_only=True))
 
     # Positions and pages
-    q["positions"] = lambda s, sf: log(s, sf).select("seq", "nbytes", "pos")
+    q["positions"] = lambda s, sf: log(s, sf, "seq", "nbytes").select("seq", "nbytes", "pos")
     q["positions_documents"] = lambda s, sf: document_log(s, sf).select("seq", "nbytes", "pos")
-    q["positions_by_sink"] = lambda s, sf: with_positions(routed_logs(s, sf)).select(
-        "sink", "seq", "nbytes", "pos"
-    )
+    q["positions_by_sink"] = lambda s, sf: with_positions(routed_logs(s, sf).select("sink", "seq", "nbytes"))
     q["log_summary"] = lambda s, sf: log_summary(lines(s, sf))
     q["locate"] = lambda s, sf: locate(
         with_positions(cut_sizes(s, sf).filter("sink = 'main'")), list(POSITIONS)
@@ -385,12 +439,12 @@ def queries() -> dict[str, Query]:
     q["tail_n"] = lambda s, sf: paging.tail(log(s, sf)).select(*HIT)
     q["tail_filtered"] = lambda s, sf: paging.tail(log(s, sf), flt=URGENT).select(*HIT)
     q["tail_console"] = lambda s, sf: format_line(
-        paging.tail(log(s, sf), fixed.TAIL_LINES, _console(s, sf))
+        paging.tail(log(s, sf, *PARSED_COLUMNS, "nbytes"), fixed.TAIL_LINES, _console(s, sf))
     ).select("text")
     q["since_page"] = lambda s, sf: paging.tail(log(s, sf), since=PAGE_SINCE).select(*HIT)
     q["context"] = _context
     q["show_all"] = lambda s, sf: format_line(
-        paging.show_all(log(s, sf), _console(s, sf))
+        paging.show_all(log(s, sf, *PARSED_COLUMNS, "nbytes"), _console(s, sf))
     ).select("pos", "text")
     q["latest_rows"] = lambda s, sf: paging.latest_rows(
         log(s, sf).filter(LogFilter.of(inc=["value=2"]).condition())
@@ -425,12 +479,18 @@ def queries() -> dict[str, Query]:
     q["retained_positions"] = lambda s, sf: relative_positions(
         retain(with_positions(cut_sizes(s, sf)), F.col("max_files"))
     ).select("sink", "seq", "rel_pos")
-    q["stored_table"] = lambda s, sf: per_segment(read_logs(s, _stored(s, sf)))
-    q["stored_tail"] = lambda s, sf: _stored_log(s, sf).tail(100, URGENT).select(*HIT)
-    q["stored_page"] = lambda s, sf: _stored_log(s, sf).forward(PAGE_AT, 100, URGENT).select(*HIT)
-    q["stored_backward"] = lambda s, sf: _stored_log(s, sf).backward(PAGE_AT, 50, URGENT).select(*HIT)
-    q["stored_search"] = lambda s, sf: _stored_log(s, sf).search("VALUE=2", 200, URGENT).select(*HIT)
-    q["stored_search_total"] = lambda s, sf: _stored_log(s, sf).search_count("VALUE=2", URGENT)
+    q["stored_table"] = lambda s, sf: per_segment(LogStore(s, new_store(s, sf)).rows())
+    q["stored_tail"] = lambda s, sf: _main(s, sf).tail(100, URGENT).select(*HIT)
+    q["stored_page"] = lambda s, sf: _main(s, sf).forward(PAGE_AT, 100, URGENT).select(*HIT)
+    q["stored_backward"] = lambda s, sf: _main(s, sf).backward(PAGE_AT, 50, URGENT).select(*HIT)
+    q["stored_since"] = lambda s, sf: _main(s, sf).tail(since=PAGE_SINCE).select(*HIT)
+    q["stored_search"] = lambda s, sf: _main(s, sf).search("VALUE=2", 200, URGENT).select(*HIT)
+    q["stored_search_total"] = lambda s, sf: _main(s, sf).search_count("VALUE=2", URGENT)
+    q["stored_rare"] = lambda s, sf: _main(s, sf).search(RARE).select(*HIT)
+    q["stored_locate"] = lambda s, sf: _main(s, sf).locate(list(POSITIONS))
+    q["stored_facet"] = lambda s, sf: store(s, sf).facility_facet("main")
+    q["stored_segments"] = lambda s, sf: store(s, sf).segments()
+    q["poll_lines"] = _poll_lines
     q["expired_dropped"] = _expired_dropped
     chain_columns = ("age", "pos", "nbytes", "line")
     q["log_chain"] = lambda s, sf: _chain(s, sf, 10).select(*chain_columns)
@@ -458,13 +518,17 @@ def queries() -> dict[str, Query]:
     q["detail_view"] = lambda s, sf: detail_view(parsed(s, sf))
 
     # Streams and audits
-    q["landed_datagrams"] = lambda s, sf: read_datagrams(s, _landed(s, sf)).select(
+    q["landed_datagrams"] = lambda s, sf: read_datagrams(s, landed(s, sf)).select(
         "seq", rcv_iso(F.col("rcv")).alias("rcv"), "src", F.col("payload").cast("string").alias("payload")
     )
-    q["stream_ingest"] = lambda s, sf: per_segment(read_ingested(s, _ingested(s, sf)))
-    q["ingest_text"] = lambda s, sf: _ingest_lines(s, sf, "text")
-    q["ingest_jsonl"] = lambda s, sf: _ingest_lines(s, sf, "jsonl")
+    q["stream_ingest"] = lambda s, sf: per_segment(read_ingested(s, new_ingest(s, sf)))
+    q["ingest_text"] = lambda s, sf: ingested(s, sf).lines("text")
+    q["ingest_jsonl"] = lambda s, sf: ingested(s, sf).lines("jsonl")
     q["ingest_retained"] = _ingest_retained
+    q["ingest_compacted"] = _compacted
+    q["ingest_arrivals"] = _ingest_arrivals
+    q["ingest_facets"] = lambda s, sf: ingested(s, sf).facets("severity")
+    q["ingest_summary"] = lambda s, sf: ingested(s, sf).summary()
     q["stream_forward"] = _stream_forward
     q["stream_follow"] = _stream_follow
     q["stream_follow_sink"] = _stream_follow_sink

@@ -26,3 +26,8 @@ POSITIONS = (0, 1, 49_999, 50_200, 100_000, 123_456, 10**12)
 
 CONSOLE_INCLUDE = ("Purchase", "signup", "text 1")
 CONSOLE_EXCLUDE = ("value=3", 'K": 7')
+
+#: Bytes of log in a data file of the queried stores, so that pages and searches have several to choose from.
+STORE_FILE_BYTES = 1 << 20
+RARE = "PLAIN text 9998"
+POLLED = "auth"

@@ -56,3 +56,47 @@ LOG = T.StructType([
     T.StructField("sink", T.StringType()),
     T.StructField("generation", T.LongType()),
 ])
+
+# The rows of one segment in one data file, and where its text and JSONL lines are.
+PART = T.StructType([
+    T.StructField("generation", T.LongType()),
+    T.StructField("start", T.LongType()),
+    T.StructField("lines", T.LongType()),
+    T.StructField("nbytes", T.LongType()),
+    T.StructField("text_bytes", T.LongType()),
+    T.StructField("json_bytes", T.LongType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("jsonl", T.StringType()),
+    T.StructField("facets", T.ArrayType(T.StructType([
+        T.StructField("facility", T.StringType()),
+        T.StructField("severity", T.StringType()),
+        T.StructField("n", T.LongType()),
+    ]))),
+])
+
+# A data file of a log store: rows of one sink, sorted by position, and what may be found in it.
+FILE = T.StructType([
+    T.StructField("sink", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("batch", T.LongType()),
+    T.StructField("generation_lo", T.LongType()),
+    T.StructField("generation_hi", T.LongType()),
+    T.StructField("pos_lo", T.LongType()),
+    T.StructField("pos_hi", T.LongType()),
+    T.StructField("lines", T.LongType()),
+    T.StructField("nbytes", T.LongType()),
+    T.StructField("severities", T.ArrayType(T.StringType())),
+    T.StructField("facilities", T.ArrayType(T.StringType())),
+    T.StructField("grams", T.ArrayType(T.LongType())),
+    T.StructField("parts", T.ArrayType(PART)),
+])
+
+# What the next batch of a sink goes on from; rows before ``oldest`` are no longer kept.
+STATE = T.StructType([
+    T.StructField("sink", T.StringType()),
+    T.StructField("text_bytes", T.LongType()),
+    T.StructField("json_bytes", T.LongType()),
+    T.StructField("generation", T.LongType()),
+    T.StructField("total", T.LongType()),
+    T.StructField("oldest", T.LongType()),
+])

@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import atexit
 import contextlib
 import contextvars
 import tempfile
@@ -40,13 +41,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+_folders: dict[str, str] = {}
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is removed when the driver's program ends."""
+    key = f"{scratch_dir(spark)}/logweir-{spark.conf.get('spark.app.id', 'session')}"
+    if key not in _folders:
+        _folders[key] = key
+        atexit.register(files.delete, key)
+    return key
+
+
 _scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[str]:
     """Tables materialized inside are removed at the end, so a long-running job leaves none behind."""
-    folder = f"{scratch_dir(spark)}/scope-{uuid.uuid4().hex}"
+    folder = f"{session_folder(spark)}/scope-{uuid.uuid4().hex}"
     token = _scope.set(folder)
     try:
         yield folder
@@ -58,6 +71,6 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the scratch folder and read back: lineage cut, safe against lost executors."""
     spark = df.sparkSession
-    path = f"{_scope.get() or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scope.get() or session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

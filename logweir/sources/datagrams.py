@@ -1,9 +1,14 @@
 """Captured datagrams as a table or a stream of landing files."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweir.schemas import DATAGRAM
 
+#: Where a datagram without a number was read from.
+PLACE = {"file_time": "_metadata.file_modification_time", "file_name": "_metadata.file_path", "row_index": "_metadata.row_index"}
+
 
 def read_datagrams(spark: SparkSession, path: str) -> DataFrame:
     """(seq, rcv, src, payload) rows of a parquet folder."""
@@ -11,10 +16,16 @@ def read_datagrams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_datagrams(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, numbered: bool = True
 ) -> DataFrame:
-    """The same rows as they land; the file cap bounds one micro-batch."""
-    reader = spark.readStream.schema(DATAGRAM)
+    """The same rows as they land; the file cap bounds one micro-batch.
+
+    With ``numbered`` off the source has no ``seq``, and rows carry the place they were read from instead,
+    from which ingest counts arrivals.
+    """
+    schema = DATAGRAM if numbered else T.StructType([f for f in DATAGRAM if f.name != "seq"])
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    return rows if numbered else rows.select("*", *[F.col(c).alias(n) for n, c in PLACE.items()])

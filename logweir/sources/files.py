@@ -3,6 +3,8 @@
 Works from the driver and inside tasks alike, and needs no access to Spark's JVM.
 """
 
+import uuid
+
 from pyarrow import fs
 
 
@@ -44,3 +46,31 @@ def move_file(source: str, target: str) -> None:
     system, place = file_system(target)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
     system.move(file_system(source)[1], place)
+
+
+def put(path: str, data: bytes) -> None:
+    """Write one small file that appears whole. An object store does so by itself; a local file gets its name last."""
+    system, place = file_system(path)
+    folder, name = place.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    local = isinstance(system, fs.LocalFileSystem)
+    staged = f"{folder}/_{name}-{uuid.uuid4().hex}" if local else place
+    with system.open_output_stream(staged) as stream:
+        stream.write(data)
+    if local:
+        system.move(staged, place)
+
+
+def read(path: str) -> bytes:
+    system, place = file_system(path)
+    with system.open_input_stream(place) as stream:
+        return stream.read()
+
+
+def delete_file(path: str) -> bool:
+    """Remove a file; whether it was there."""
+    system, place = file_system(path)
+    if system.get_file_info(place).type == fs.FileType.NotFound:
+        return False
+    system.delete_file(place)
+    return True

@@ -1,52 +1,27 @@
 """Continuous parse, route, write and expire, and continuous forwarding.
 
-Every micro-batch has its own ``batch=N`` folder in each output. A folder is written aside and moved to
-its place when it is whole, and a batch that is run again after a failure keeps what is there, so
-followers see each row once. The state a batch continues from (bytes and generation per sink) is the table
-its predecessor wrote; nothing is held in one task or on the driver.
+A micro-batch writes files of its own and then one small commit (see ``sources.manifest``), so readers see it
+whole or not at all and nothing is renamed; a batch that is run again after a failure finds its commit and does
+nothing. The state it continues from (bytes and generation per sink, arrival numbers handed out) is part of the
+commit before; nothing is held in one task or on the driver.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logweir.operators.arrival import number_arrivals
 from logweir.operators.parse import parse_syslog, to_jsonl
-from logweir.operators.positions import segment_table
-from logweir.operators.routing import forward, route
+from logweir.operators.routing import Router, forward
 from logweir.operators.segments import assign_generations
 from logweir.session import materialize, scratch_scope
-from logweir.sources import files
-from logweir.sources.sinks import (
-    deliver, drop_segments, read_logs, to_logs, write_jsonl, write_logs, write_text,
-)
-
-STATE = "sink string, text_bytes long, json_bytes long, generation long, total long"
-
-
-def _previous_state(spark: SparkSession, out: str, batch: int) -> DataFrame | None:
-    if batch == 0:
-        return None
-    return spark.read.schema(STATE).parquet(f"{out}/state/batch={batch - 1}")
+from logweir.sources.sinks import deliver, to_logs
+from logweir.sources.store import LogStore
 
-
-def _next_state(logs: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Bytes in the open segment, its generation and the log size after this batch."""
-    per_segment = logs.groupBy("sink", "generation").agg(
-        F.sum("text_bytes").alias("text_bytes"), F.sum("json_bytes").alias("json_bytes"),
-        F.sum("nbytes").alias("total"),
-    )
-    if before is not None:
-        per_segment = per_segment.unionByName(before.select(*per_segment.columns))
-    summed = per_segment.groupBy("sink", "generation").agg(
-        *[F.sum(c).alias(c) for c in ("text_bytes", "json_bytes", "total")]
-    )
-    return summed.groupBy("sink").agg(
-        F.max_by("text_bytes", "generation").alias("text_bytes"),
-        F.max_by("json_bytes", "generation").alias("json_bytes"),
-        F.max("generation").alias("generation"), F.sum("total").alias("total"),
-    )
+#: Small files are merged after so many batches.
+COMPACT_EVERY = 64
+#: Columns of a rule that say which outputs its sink writes.
+OUTPUTS = ("write_text", "write_jsonl")
 
 
 def segment_batch(
@@ -57,7 +32,7 @@ def segment_batch(
     limited = logs.join(
         F.broadcast(routes.select("sink", F.col("max_bytes").alias("_limit"))), "sink"
     )
-    carry = None if before is None else before.drop("total")
+    carry = None if before is None else before.select("sink", "text_bytes", "json_bytes", "generation")
     placed = assign_generations(
         limited, F.col("_limit"), carry, sums={"pos": "nbytes"}
     )
@@ -72,113 +47,62 @@ def segment_batch(
     ).drop("_limit", "_base", "_open")
 
 
-def _once(path: str, write: Callable[[str], None]) -> None:
-    """Write a batch folder aside and move it to its place, unless an earlier run has done so."""
-    if files.exists(path):
-        return
-    folder, name = path.rsplit("/", 1)
-    staged = f"{folder}/_staged-{name.replace('=', '-')}"  # hidden from readers
-    write(staged)
-    files.publish(staged, path)
-
-
 def write_batch(
     datagrams: DataFrame, batch: int, routes: DataFrame, out: str, text: bool = True,
-    jsonl: bool = True,
+    jsonl: bool = True, compact_every: int = COMPACT_EVERY, router: Router | None = None,
 ) -> None:
-    """Parse, route, segment, write and expire one batch.
+    """Parse, route, segment, write, commit and expire one batch.
 
     A sink's text and JSONL are written where its rule says so; ``text`` and ``jsonl`` switch an output
-    off for all sinks.
+    off for all sinks. Datagrams without ``seq`` get arrival numbers that go on from the batch before.
     """
-    if files.exists(f"{out}/state/batch={batch}"):
-        return  # the state is written last
+    store = LogStore(datagrams.sparkSession, out)
+    at = store.commit()
+    if at is not None and at.batch >= batch:
+        return  # an earlier run of this batch has committed it
     with scratch_scope(datagrams.sparkSession):
-        _write_batch(datagrams, batch, routes, out, text, jsonl)
+        _write_batch(store, datagrams, batch, routes, text, jsonl, router or Router(routes, *OUTPUTS))
+        if (batch + 1) % compact_every == 0:
+            store.compact()
+            store.vacuum()
 
 
 def _write_batch(
-    datagrams: DataFrame, batch: int, routes: DataFrame, out: str, text: bool, jsonl: bool
+    store: LogStore, datagrams: DataFrame, batch: int, routes: DataFrame, text: bool, jsonl: bool, router: Router,
 ) -> None:
-    spark = datagrams.sparkSession
+    at = store.commit()
+    numbered, next_seq = number_arrivals(datagrams, at.next_seq if at else 0)
     # The line is built once per message, before the fan-out; the outputs come with the rule.
-    routed = route(to_jsonl(parse_syslog(datagrams)), routes, "write_text", "write_jsonl")
-    logs = materialize(to_logs(routed).drop("write_text", "write_jsonl"), "batch-logs")
-    before = _previous_state(spark, out, batch)
-    _once(f"{out}/logs/batch={batch}", lambda path: write_logs(segment_batch(logs, routes, before), path))
-    written = read_logs(spark, f"{out}/logs/batch={batch}")
-    # An output that a sink does not write has no bytes there.
-    if jsonl:
-        _once(f"{out}/jsonl/batch={batch}", lambda path: write_jsonl(written.filter("json_bytes > 0"), path))
-    if text:
-        _once(f"{out}/text/batch={batch}", lambda path: write_text(written.filter("text_bytes > 0"), path))
-    _once(f"{out}/segments/batch={batch}", lambda path: segment_table(written, ["sink"]).write.mode("overwrite").parquet(path))
-    state = materialize(_next_state(written, before), "batch-state")
-    expire(spark, out, routes, state, before)
-    _once(f"{out}/state/batch={batch}", lambda path: state.write.mode("overwrite").parquet(path))
-
-
-def expire(
-    spark: SparkSession, out: str, routes: DataFrame, state: DataFrame, before: DataFrame | None
-) -> int:
-    """Delete what retention lets go between two states, in every batch and output; how many folders.
-
-    The segment table says which batches a generation is in, so nothing is listed, and only generations
-    that became too old since the state before are touched. Tasks delete; a repeated one finds nothing.
-    """
-    newest = state.select("sink", F.col("generation").alias("_newest"))
-    limits = routes.select("sink", "max_files").filter("max_files > 0").join(newest, "sink")
-    if before is None:
-        limits = limits.withColumn("_older", F.lit(-1).cast("long"))
-    else:
-        limits = limits.join(
-            before.select("sink", F.col("generation").alias("_older")), "sink", "left"
-        )
-    last = F.col("_newest") - F.col("max_files")
-    first = F.coalesce("_older", F.lit(-1).cast("long")) - F.col("max_files")
-    segments = spark.read.schema(f"{SEGMENTS}, batch long").parquet(f"{out}/segments")
-    gone = segments.join(limits, "sink").filter(
-        (F.col("generation") < last) & (F.col("generation") >= first)
-    ).select("batch", "sink", "generation").distinct()
-    return drop_segments(gone, out)
-
-
-#: A row of the segment table; it is partitioned by batch.
-SEGMENTS = "sink string, generation long, start long, size long, lines long"
-
-
-def read_segments(
-    spark: SparkSession, out: str, routes: DataFrame | None = None
-) -> DataFrame:
-    """Start, size and line count of every segment part written; with ``routes`` of those retained."""
-    parts = spark.read.schema(SEGMENTS).parquet(f"{out}/segments")
-    if routes is None:
-        return parts
-    newest = parts.groupBy("sink").agg(F.max("generation").alias("_newest"))
-    kept = newest.join(routes.select("sink", "max_files"), "sink").select(
-        "sink", F.when(F.col("max_files") > 0, F.col("_newest") - F.col("max_files"))
-        .otherwise(0).alias("_oldest")
-    )
-    return parts.join(kept, "sink").filter("generation >= _oldest").drop("_oldest")
+    logs = to_logs(router(to_jsonl(parse_syslog(numbered)))).drop(*OUTPUTS)
+    placed = segment_batch(logs, routes, store.state(at))
+    outputs = tuple(name for name, on in (("text", text), ("jsonl", jsonl)) if on)
+    store.append(placed, batch, routes.select("sink", "max_files"), outputs, next_seq, clustered=True)
+    store.expire(at)
+
+
+def read_segments(spark: SparkSession, out: str) -> DataFrame:
+    """Start, size and line count of every segment that is kept, from the catalogue."""
+    return LogStore(spark, out).segments()
 
 
 def start_ingest(
     stream: DataFrame, routes: DataFrame, out: str, checkpoint: str,
     trigger: dict | None = None, text: bool = True, jsonl: bool = True,
 ) -> StreamingQuery:
-    """Datagrams to ``out/logs`` (parquet), ``out/jsonl`` and ``out/text`` as they arrive, each sink in
-    the outputs that its rule names, old segments going as its ``max_files`` says."""
+    """Datagrams to a log store below ``out`` as they arrive: data files, and text and JSONL for the sinks
+    whose rules name them, old segments going as ``max_files`` says."""
+    router = Router(routes, *OUTPUTS)
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda df, batch: write_batch(df, batch, routes, out, text, jsonl))
+        .foreachBatch(lambda df, batch: write_batch(df, batch, routes, out, text, jsonl, router=router))
         .start()
     )
 
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
-    """All log rows written so far."""
-    return read_logs(spark, f"{out}/logs")
+    """All log rows that are kept."""
+    return LogStore(spark, out).rows()
 
 
 def start_forward(

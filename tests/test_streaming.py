@@ -1,6 +1,5 @@
 import datetime
 import os
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +10,9 @@ from logweir.operators.segments import retain
 from logweir.operators.routing import forward, route
 from logweir.schemas import DATAGRAM, FORWARD_RULE, ROUTE
 from logweir.sources.datagrams import read_datagrams, stream_datagrams
-from logweir.sources.log_table import LogTable
-from logweir.sources.sinks import read_logs, to_logs
-from logweir.streaming.follow import follow, follow_log, follow_table
+from logweir.sources.sinks import to_logs
+from logweir.sources.store import LogStore
+from logweir.streaming.follow import follow, follow_store
 from logweir.streaming.ingest import (
     read_ingested, read_segments, segment_batch, start_forward, start_ingest, write_batch,
 )
@@ -57,12 +56,12 @@ def test_ingest_in_batches_equals_one_batch(spark, tmp_path):
     want = key(segment_batch(whole.drop("write_text", "write_jsonl"), rules(spark)))
     got = read_ingested(spark, out)
     assert key(got) == want
-    assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1, 2}
+    assert {r.batch for r in LogStore(spark, out).files().select("batch").distinct().collect()} == {0, 1, 2}
     assert got.filter("sink = 'all'").agg(F.max("generation")).first()[0] > 5
 
-    # Pages of the ingested table, located by the small segment table.
+    # Pages of the ingested log, located by the catalogue.
     logs = read_ingested(spark, out).filter("sink = 'all'")
-    table = LogTable(spark, f"{out}/logs", "all", read_segments(spark, out))
+    table = LogStore(spark, out).sink("all")
     seqs = lambda df: [r.seq for r in df.collect()]
     assert seqs(table.tail(25)) == seqs(paging.tail(logs, 25)) == list(range(145, 170))
     assert seqs(table.forward(3_000, 9)) == seqs(paging.read_forward(logs, 3_000, 9))
@@ -70,34 +69,35 @@ def test_ingest_in_batches_equals_one_batch(spark, tmp_path):
     scratch = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
     assert not [f for f in os.listdir(scratch) if f.startswith("scope-")]
 
-    # A batch that runs again leaves the same files, so followers see no row twice; so does one that
-    # was lost before its state was written.
+    # A batch that runs again changes nothing; one that was lost before its commit is written anew, and
+    # what the lost attempt left is not seen.
     before = parts(out)
     write_batch(read_datagrams(spark, landing).filter("seq >= 100"), 2, rules(spark), out)
     assert parts(out) == before
-    shutil.rmtree(f"{out}/state/batch=2")
+    newest = max(os.listdir(f"{out}/commits"))
+    os.rename(f"{out}/commits/{newest}", f"{tmp_path}/lost")
     write_batch(read_datagrams(spark, landing).filter("seq >= 100"), 2, rules(spark), out)
-    assert parts(out) == before
+    assert len(parts(out)) > len(before)
     assert key(read_ingested(spark, out)) == want
 
-    lines = follow_log(spark, f"{out}/jsonl")
+    lines = follow_store(spark, out).filter("json_bytes > 0")
     shown = collect(spark, follow(lines, None, ["text 1"], ["xxxx"], ("message",)), tmp_path, "f")
     messages = read_ingested(spark, out).filter(
         "json_bytes > 0 AND message LIKE '%text 1%' AND message NOT LIKE '%xxxx%'"
     )
     assert sorted(r.text for r in shown) == sorted(r.message for r in messages.collect())
 
-    tail = read_ingested(spark, out).filter("sink = 'all' AND batch < 2").agg(
+    tail = read_ingested(spark, out).filter("sink = 'all' AND seq < 100").agg(
         F.max(F.col("pos") + F.col("nbytes"))).first()[0]
-    newest = follow_table(spark, f"{out}/logs", "all", tail)
+    newest = follow_store(spark, out, "all", tail)
     got = collect(spark, follow(newest, columns=("message",)).select("seq", "text"), tmp_path, "g")
     assert sorted(r.seq for r in got) == list(range(100, 170))
 
 
 def parts(out):
     return sorted(
-        os.path.join(root, n) for output in ("logs", "jsonl", "text", "segments")
-        for root, _, names in os.walk(f"{out}/{output}") for n in names if n.startswith("part-")
+        os.path.join(root, n) for output in ("data", "jsonl", "text")
+        for root, _, names in os.walk(f"{out}/{output}") for n in names
     )
 
 
@@ -115,18 +115,20 @@ def test_each_sink_is_written_and_expired_as_its_rule_says(spark, tmp_path):
     assert key(rows) == sorted(kept)
 
     def written(output, column):
-        text = spark.read.option("lineSep", "\n").text(f"{out}/{output}")
-        return sorted((r.sink, r.generation, r.value) for r in text.collect()), sorted(
+        text = LogStore(spark, out).lines(output)
+        return sorted((r.sink, r.generation, r.line) for r in text.collect()), sorted(
             (r.sink, r.generation, r[column].decode() if column == "raw" else r[column])
             for r in rows.filter(f"{'text' if column == 'raw' else 'json'}_bytes > 0").collect())
 
     for output, column, sinks in (("text", "raw", {"all", "endless"}), ("jsonl", "line", {"all", "auth"})):
         got, wanted = written(output, column)
         assert got == wanted and {sink for sink, *_ in got} == sinks
-    segments = read_segments(spark, out, rules(spark, 2))
+    segments = read_segments(spark, out)
     pairs = lambda df: {(r.sink, r.generation) for r in df.select("sink", "generation").collect()}
     assert pairs(segments) == pairs(rows)
-    one = collect(spark, follow_log(spark, f"{out}/jsonl", sink="auth").select("line"), tmp_path, "auth")
+    oldest = rows.filter("sink = 'auth'").agg(F.min("generation")).first()[0]
+    followed = follow_store(spark, out, "auth").filter(F.col("generation") >= oldest)
+    one = collect(spark, followed.select("line"), tmp_path, "auth")
     assert sorted(r.line for r in one) == sorted(r.line for r in rows.filter("sink = 'auth'").collect())
 
 
@@ -143,7 +145,7 @@ def test_batch_that_reaches_no_sink(spark, tmp_path):
     only = rules(spark).filter("sink = 'auth'")
     for batch in (0, 1):
         write_batch(read_datagrams(spark, f"{tmp_path}/in").filter("seq < 2"), batch, only, f"{tmp_path}/out")
-    assert read_logs(spark, f"{tmp_path}/out/logs").count() == 0
+    assert read_ingested(spark, f"{tmp_path}/out").count() == 0
 
 
 def test_forwarding_stream_stands_alone(spark, tmp_path):
