@@ -22,6 +22,10 @@ LINKS_IN_ARTICLE, LINKS = 0.6, 0.33
 SHORT, LONG = 70, 200
 #: Shares of stop words that make a long block text, and a middling one.
 STOPS_LOW, STOPS_HIGH = 0.2, 0.3
+#: Share of a page's unlinked text that makes a marked article the whole of it, and an unknown language its own.
+MOST = 0.5
+#: Share of words that sell which makes a block without stop words an advert.
+ADVERT = 0.2
 #: Share of stop words that makes any but a short block text in an article; a long one below it is none.
 STOPS_IN_ARTICLE = 0.05
 
@@ -32,6 +36,10 @@ der die das den dem des ein eine einer und oder aber auch auf aus bei bin bist d
 le la les un une des du de et ou mais au aux avec ce ces cette dans elle en est il ils je ne nous on par pas plus pour qu que qui sa se ses son sont sur vous
 el los las una unos del al y o pero con como cuando donde ella ellos era es esta este fue ha hay la lo más me mi muy no nos para por porque que se ser si sin sobre su sus también te un ya
 """.split())
+ADVERT_WORDS = frozenset("""
+buy cheap cheapest discount discounts voucher vouchers coupon coupons sale offer offers deal deals free shipping order now today premium subscribe click here save limited price prices shop online
+cookies consent accept privacy policy settings newsletter
+""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""
 address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
@@ -62,12 +70,13 @@ _WORDS = re.compile(r"[^\W\d_]+")
 class Block:
     """One block: pieces of its text, how much of it is in links, and where it stands."""
 
-    __slots__ = ("pieces", "linked", "dropped", "article", "main", "named", "heading")
+    __slots__ = ("pieces", "linked", "dropped", "article", "main", "named", "heading", "card")
 
     def __init__(self, dropped: bool, article: bool, main: bool, named: bool, heading: bool):
         self.pieces: list[str] = []
         self.linked: list[str] = []
         self.dropped, self.article, self.main, self.named, self.heading = dropped, article, main, named, heading
+        self.card = False  # inside a link that holds whole blocks
 
 
 def _names(attributes: str) -> tuple[bool, bool]:
@@ -95,6 +104,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, dropped, article, main, named
     own = Block(False, False, False, False, False)
     breaks, links, at = 0, 0, 0
+    wraps, said, depth = False, False, 0  # of the open link: holds blocks, has text, elements around it
 
     def close(heading: bool = False) -> None:
         nonlocal own, breaks
@@ -104,11 +114,12 @@ def blocks(page: str) -> list[Block]:
         own, breaks = Block(*state, heading), 0
 
     def text(raw: str) -> None:
-        nonlocal breaks
+        nonlocal breaks, said
         if raw and not raw.isspace():
             own.pieces.append(raw)
             if links:
                 own.linked.append(raw)
+                own.card, said = own.card or wraps, True
             breaks = 0
         elif raw and own.pieces:
             own.pieces.append(" ")
@@ -128,6 +139,7 @@ def blocks(page: str) -> list[Block]:
             if tag in CONTAINERS and any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
+                links = 0 if len(stack) < depth else links  # a link ends with what holds it
                 close() if tag in BLOCKS or tag == "span" else None
             elif tag in BLOCKS:
                 close()
@@ -143,7 +155,7 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
             close()
         if tag == "a":
-            links = 1
+            links, wraps, said, depth = 1, False, False, len(stack)
             continue
         if tag in CONTAINERS and not m.group(4).endswith("/"):
             above = stack[-1] if stack else ("", False, False, False, False)
@@ -154,9 +166,11 @@ def blocks(page: str) -> list[Block]:
                 continue
             furniture = bad or tag in DROPPED or tag == "header" and not (above[2] or above[3])
             stack.append((tag, above[1] or furniture, above[2] or tag == "article", above[3] or tag == "main", above[4] or good and not bad))
-            links = 0 if tag in BLOCKS else links
+            if tag in BLOCKS:  # a link whose text has begun ends here, one around the block goes on
+                wraps, links = wraps or not said, links if wraps or not said else 0
             close()
         elif tag in BLOCKS:
+            wraps = wraps or bool(links) and not said
             close(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
     text(page[at:])
     close()
@@ -167,9 +181,24 @@ def _clean(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
 
-def label(text: str, linked: int, chosen: bool, heading: bool) -> int:
+def stop_share(text: str) -> float:
+    """Share of stop words among the words of a block."""
+    own = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in own) / max(1, len(own))
+
+
+def sells(text: str) -> bool:
+    """An advert or a notice by its words: hardly a stop word, and many that sell or ask for consent."""
+    own = _WORDS.findall(text.lower())
+    return len(own) > 0 and stop_share(text) < STOPS_IN_ARTICLE and sum(w in ADVERT_WORDS for w in own) >= ADVERT * len(own)
+
+
+def label(text: str, linked: int, chosen: bool, heading: bool, card: bool = False, foreign: bool = False) -> int:
     """First pass: text, furniture or open. ``chosen`` says that the block is in the part of the page that is
-    marked as its article, where more links and fewer stop words will do."""
+    marked as its article, where more links and fewer stop words will do; ``card`` that a link holds the whole block;
+    ``foreign`` that the page is in a language whose stop words are not known."""
+    if card:
+        return OPEN if heading else BAD
     share = linked / max(1, len(text))
     if share > (LINKS_IN_ARTICLE if chosen else LINKS):
         return OPEN if chosen and len(text) < SHORT else BAD
@@ -177,8 +206,9 @@ def label(text: str, linked: int, chosen: bool, heading: bool) -> int:
         return OPEN
     if len(text) < SHORT:
         return BAD if linked and not chosen else OPEN
-    own = _WORDS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in own) / max(1, len(own))
+    stops = stop_share(text)
+    if foreign and not linked and stops < STOPS_LOW and not sells(text):
+        return GOOD if chosen or len(text) >= LONG else OPEN
     if chosen:
         return GOOD if stops >= STOPS_IN_ARTICLE else BAD if len(text) >= LONG else OPEN
     if stops >= STOPS_HIGH or stops >= STOPS_LOW and len(text) >= LONG:
@@ -219,12 +249,18 @@ def main_text(page: str | None) -> str:
     usable = [b for b in found if not b.dropped]
     kind = next((k for k in ("article", "main", "named") if any(getattr(b, k) for b in usable)), None)
     chosen = [kind is not None and not b.dropped and getattr(b, kind) for b in found]
-    labels, linked = [], [len(_clean(b.linked)) if b.linked else 0 for b in found]
+    linked = [len(_clean(b.linked)) if b.linked else 0 for b in found]
+    plain = [0 if n or b.dropped else len(t) for b, t, n in zip(found, texts, linked, strict=True)]
+    whole, held = sum(plain), sum(n for n, inside in zip(plain, chosen, strict=True) if inside)
+    holds = held > 0 and held >= MOST * whole
+    told = [(n, stop_share(t)) for n, t in zip(plain, texts, strict=True) if n >= SHORT and not sells(t)]
+    foreign = sum(n for n, stops in told if stops < STOPS_LOW) > MOST * sum(n for n, _ in told)
+    labels = []
     for b, text, n, inside in zip(found, texts, linked, chosen, strict=True):
-        labels.append(BAD if b.dropped else label(text, n, inside, b.heading))
-    if kind and GOOD not in labels:  # a language whose stop words are not known, or only short blocks
-        labels = [GOOD if inside and n <= LINKS_IN_ARTICLE * len(text) else own
-                  for text, n, inside, own in zip(texts, linked, chosen, labels, strict=True)]
+        labels.append(BAD if b.dropped else label(text, n, inside, b.heading, b.card, foreign))
+    if kind and GOOD not in labels:  # only short blocks, or only linked ones
+        labels = [GOOD if inside and not b.card and n <= LINKS_IN_ARTICLE * len(text) else own
+                  for b, text, n, inside, own in zip(found, texts, linked, chosen, labels, strict=True)]
     final = [BAD] * len(found)
     for inside in (True, False):  # open blocks follow neighbours on their own side of the article's bounds
         at = [i for i, own in enumerate(chosen) if own == inside]
@@ -232,6 +268,9 @@ def main_text(page: str | None) -> str:
         tie = GOOD if inside or kind is None and not any(own) else BAD
         for i, one in zip(at, settled(own, tie, [found[i].heading for i in at]), strict=True):
             final[i] = one
+    if holds:  # the marked article is the page's text: of it only links and adverts can be furniture, the rest is around it
+        final = [(one if n or sells(t) else GOOD) if inside else BAD
+                 for one, t, n, inside in zip(final, texts, linked, chosen, strict=True)]
     return "\n".join(t for t, own in zip(texts, final, strict=True) if own == GOOD)
 
 

@@ -100,6 +100,37 @@ def test_extract(spark):
     assert main_text.extract(pages.limit(0)).count() == 0
 
 
+STORY = "The cat and the dog are in the house with all of us and it is a good day. " * 4
+
+
+def test_marked_article_loses_no_unlinked_block():
+    chinese = "这是一个很长的段落，讲述了许多事情。" * 15
+    english = "The story of the town is told by its people and it was a good one for all of them in the end."
+    page = f"<article><p>{chinese}</p><p>{english}</p><p>Kort</p><ul><li>Zwz qrt | brst plk | {'zrk mlp ' * 40}</ul><p>{chinese}</p></article>"
+    lines = main_text.main_text(page).split("\n")
+    assert lines[0] == chinese and lines[1:3] == [english, "Kort"] and len(lines) == 5
+
+
+def test_links_count_through_the_blocks_they_hold():
+    card = "<a href=x><div>Read the story of the year that was on the list for all of us to see here now</div><p>Teaser</p></a>"
+    assert main_text.main_text(f"<article><p>{STORY}</p>{card}<p>{STORY}!</p></article>") == f"{STORY.strip()}\n{STORY}!"
+    unclosed = f"<article><div><a href=x>Begin</div><p>{STORY}</p></article>"
+    assert STORY.strip() in main_text.main_text(unclosed)
+
+
+def test_unnamed_notice_beside_a_marked_article():
+    notice = "We use cookies to give you the best of the site and to see what you do on it, as it is in the law of the land and the sea. " * 2
+    assert main_text.main_text(f"<article><p>{STORY}</p></article><div>{notice}</div>") == STORY.strip()
+    teaser = f"<article><p>Short teaser</p></article><div><p>{STORY}</p><p>{STORY}?</p></div>"  # the article is not the page's text
+    assert main_text.main_text(teaser).split("\n")[-2:] == [STORY.strip(), f"{STORY}?"]
+
+
+def test_page_in_a_language_without_stop_words():
+    chinese = "这是一个很长的段落，讲述了许多事情。" * 15
+    page = f"<body><div><a href=a>首页</a> <a href=b>新闻</a></div><div><p>{chinese}</p><p>{chinese}</p></div></body>"
+    assert main_text.main_text(page) == f"{chinese}\n{chinese}"
+
+
 # Repeated spans
 
 def plain_repeats(rows):
