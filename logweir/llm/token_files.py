@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm.common import arrow_map, batches_of, kept, partitions_for, rows_of, work_folder
-from logweir.llm.warc import file_system
+from logweir.sources.files import file_system
 from logweir.llm.word_ids import WordIds
 
 END_ID = 2

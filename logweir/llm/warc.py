@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm.common import arrow_map, batches_of, kept, partitions_for, rows_of, work_folder
+from logweir.sources.files import file_system
 
 # Fixed values of the WARC and Zstandard formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -23,6 +24,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 REVISIT_BYTES = 100
 #: The dictionary of an archive is built from records up to this many bytes together; its own size.
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2 << 20, 64 << 10, 6
+#: Archives with fewer records take the dictionary built from so many pages of the whole table, and so many bytes of each.
+FEWEST, SHARED_PAGES, SHARED_BYTES = 16, 512, 8 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST = "path string, records long, bytes long"
@@ -71,13 +74,6 @@ def parse_record(raw: bytes) -> tuple:
     return _number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), size, digest, kind, _number(head.get("WARC-Refers-To"))
 
 
-def file_system(folder: str):
-    """The folder's file system and its path there: local, HDFS, S3 or another that pyarrow reaches."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, level: int = LEVEL,
                    sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """Every page as a record of the archives in ``folder``; returns the manifest, a row per archive.
@@ -85,7 +81,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, level: in
     Equal payloads meet by their digest in a partial aggregate, so a payload of a third of all pages is no
     hot task; html is shuffled once, by page, together with narrow marks that say which pages are copies. Each task writes one archive under a name of its own and then
     moves it to its place, so that a repeated task leaves the same file. Of rows with equal page_id and payload the
-    first is the response. A null html is an empty payload; a null page_id ranks last and stays null.
+    first is the response. A null html is an empty payload; a null page_id ranks last and stays null. An archive with
+    few records takes a dictionary built from pages of the whole table, so that none is without.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
@@ -100,6 +97,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, level: in
     order = [F.col("page_id").isNull(), F.col("page_id"), F.col("digest"), ~F.col("mark"), F.col("url")]
     ready = rows.repartition(partitions_for(pages), "page_id", "digest").sortWithinPartitions(*order)
     names = ready.columns
+    shared = _shared_dictionary(own, dictionary_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,7 +109,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, level: in
         beside = f"{top}/.{name}.{task.taskAttemptId()}"
         count, size = 0, 0
         with system.open_output_stream(beside, compression=None) as out:
-            for piece in _archive(rows_of(batches, *names), level, sample_bytes, dictionary_bytes):
+            for piece in _archive(rows_of(batches, *names), level, sample_bytes, dictionary_bytes, shared):
                 out.write(piece)
                 count, size = count + 1, size + len(piece)
         system.move(beside, f"{top}/{name}")
@@ -133,7 +131,15 @@ def _records(rows: Iterator[tuple]) -> Iterator[bytes]:
         first = False
 
 
-def _archive(rows: Iterator[tuple], level: int, sample_bytes: int, dictionary_bytes: int) -> Iterator[bytes]:
+def _shared_dictionary(pages: DataFrame, size: int) -> bytes:
+    """A dictionary from the beginnings of the pages with the least hash of their id and payload."""
+    order = [F.xxhash64("page_id", "digest"), "page_id", "digest"]
+    begun = pages.select("page_id", "url", F.substring("payload", 1, SHARED_BYTES).alias("payload"), "digest")
+    rows = begun.orderBy(*order).limit(SHARED_PAGES).collect()  # at most SHARED_PAGES times SHARED_BYTES
+    return _dictionary([record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None, False) for r in rows], size)
+
+
+def _archive(rows: Iterator[tuple], level: int, sample_bytes: int, dictionary_bytes: int, shared: bytes = b"") -> Iterator[bytes]:
     """The frames of an archive: the dictionary of its first records, then one frame for each record."""
     import zstandard as zstd
 
@@ -143,7 +149,7 @@ def _archive(rows: Iterator[tuple], level: int, sample_bytes: int, dictionary_by
         size += len(raw)
         if size >= sample_bytes:
             break
-    words = _dictionary(held, dictionary_bytes)
+    words = _dictionary(held, dictionary_bytes) if len(held) >= FEWEST else shared
     yield struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words
     packer = zstd.ZstdCompressor(level=level, dict_data=zstd.ZstdCompressionDict(words) if words else None,
                                  write_content_size=True, write_checksum=True)
@@ -154,13 +160,15 @@ def _archive(rows: Iterator[tuple], level: int, sample_bytes: int, dictionary_by
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A dictionary from records; empty where they are too few to build one from."""
+    """A dictionary from records; where none can be trained, the records' own bytes, the last nearest."""
     import zstandard as zstd
 
     try:
-        return zstd.train_dictionary(size, [s[: 1 << 17] for s in samples], k=256, d=8, steps=1).as_bytes() if len(samples) >= 16 else b""
+        if len(samples) >= FEWEST:
+            return zstd.train_dictionary(size, [s[: 1 << 17] for s in samples], k=256, d=8, steps=1).as_bytes()
     except zstd.ZstdError:
-        return b""
+        pass
+    return b"".join(samples)[-size:]
 
 
 def frames(stream) -> Iterator[tuple[int, bytes]]:

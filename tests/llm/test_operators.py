@@ -249,6 +249,17 @@ def test_an_archive_is_read_record_by_record(tmp_path):
         list(warc.frames(stream))
 
 
+def test_every_archive_has_a_dictionary(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>page {i} of the archive</p>" * (i % 7)) for i in range(60)], "page_id long, url string, html string")
+    for rows in (60, 3):
+        made = warc.write_archives(spark, pages.where(f"page_id < {rows}").repartition(20), f"{tmp_path}/{rows}")
+        for path, records, _ in made.collect():
+            with open(path, "rb") as file:
+                magic, size = int.from_bytes(file.read(4), "little"), int.from_bytes(file.read(4), "little")
+            assert magic == warc.DICTIONARY_MAGIC and (size > 0 or records == 0)
+        assert warc.read_archives(made).count() == rows
+
+
 # SentencePiece
 
 def test_parity_and_round_trip(spark, corpus):
