@@ -77,7 +77,11 @@ def route(parsed: DataFrame, routes: DataFrame, *carried: str) -> DataFrame:
 
 
 def _route_keys(routes: DataFrame, *carried: str) -> DataFrame:
-    compiled = compile_rules(routes, "sink", "include_malformed", *carried)
+    """Join keys of the rules. A sink has one rule: a second one would write every message twice."""
+    twice = routes.groupBy("sink").agg(F.count("*").alias("_rules"), *[F.first(c).alias(c) for c in routes.columns if c != "sink"])
+    checked = twice.withColumn("sink", F.when(F.col("_rules") == 1, F.col("sink")).otherwise(
+        F.raise_error(F.concat(F.lit("More than one rule for sink: '"), F.col("sink"), F.lit("'")))))
+    compiled = compile_rules(checked, "sink", "include_malformed", *carried)
     return _join_keys(compiled, F.col("include_malformed")).select("sink", *carried, "_code")
 
 

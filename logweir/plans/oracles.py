@@ -323,6 +323,7 @@ FROM cut GROUP BY sink, generation"""
             _EVENTS, _PARSED, _RULES,
         ),
         "stream_forward": _q("SELECT target, seq, payload FROM fwd", _EVENTS, _PARSED, _RULES),
+        "forward_outbox": _q("SELECT target, seq, payload FROM fwd", _EVENTS, _PARSED, _RULES),
         "jsonl_lines": _log("SELECT seq, line FROM l"),
         "jsonl_documents": _log("SELECT seq, line, nbytes FROM n", _DOCUMENTS),
         "jsonl_round_trip": _log(f"SELECT seq, {_RECORD} FROM l"),

@@ -1,9 +1,13 @@
 """Every operator as a named query over the supplied tables."""
 
+import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +42,12 @@ from logweir.sources.sinks import (
 from logweir.sources.store import LogStore
 from logweir.streaming.follow import LinePoll, follow, follow_log, follow_store
 from logweir.streaming.ingest import (
-    read_ingested, read_segments, segment_batch, start_forward, start_ingest,
+    read_ingested, segment_batch, start_forward, start_ingest,
 )
+from logweir.streaming.outbox import SENT
+
+# Task functions travel with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -303,6 +311,28 @@ def _stream_forward(spark: SparkSession, sf: str) -> DataFrame:
     return sent.select("target", "seq", F.col("payload").cast("string").alias("payload"))
 
 
+def _to_files(folder: str):
+    """A sender that writes what it is given to files of its target."""
+    def send(target: str, batches: Iterator[pa.RecordBatch]) -> None:
+        for batch in batches:
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                pq.write_table(pa.Table.from_batches([batch]), sink)
+                files.put(f"{folder}/{target}-{uuid.uuid4().hex}.parquet", sink.getvalue().to_pybytes())
+
+    return send
+
+
+def _forward_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """What the targets took out of the outbox, each by itself."""
+    out = new_folder(spark, "outbox")
+    start_forward(
+        _landing_stream(spark, sf), forward_rules(spark), out, f"{out}/checkpoint", send=_to_files(f"{out}/sent")
+    ).awaitTermination()
+    sent = spark.read.schema(SENT).parquet(f"{out}/sent")
+    return sent.select("target", "seq", F.col("payload").cast("string").alias("payload"))
+
+
 def _shown(spark: SparkSession, rows: DataFrame, out: str, schema: str) -> DataFrame:
     """What a stream of rows shows until it has caught up."""
     rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
@@ -530,6 +560,7 @@ def queries() -> dict[str, Query]:
     q["ingest_facets"] = lambda s, sf: ingested(s, sf).facets("severity")
     q["ingest_summary"] = lambda s, sf: ingested(s, sf).summary()
     q["stream_forward"] = _stream_forward
+    q["forward_outbox"] = _forward_outbox
     q["stream_follow"] = _stream_follow
     q["stream_follow_sink"] = _stream_follow_sink
     q["follow_from_end"] = _follow_from_end

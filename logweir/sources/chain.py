@@ -22,8 +22,8 @@ def _glob_escape(text: str) -> str:
 def read_log_chain(spark: SparkSession, base_path: str, max_files: int = 10) -> DataFrame:
     """Lines of the active file (``age`` 0) and its newest ``max_files`` rotated ones; 0 is all.
 
-    Rotated files are ``stem.N.ext`` with N from 1 and no leading zero; other names are no part of
-    the log. Missing and empty files simply contribute nothing. ``block_start`` and ``line_id`` order the
+    Rotated files are ``stem.N.ext`` with N from 1 to the largest 64-bit number and no leading zero; other
+    names are no part of the log. Missing and empty files simply contribute nothing. ``block_start`` and ``line_id`` order the
     lines inside a file; lines end at a newline only, so a carriage return stays in the line.
     """
     folder, name = posixpath.split(base_path)
@@ -37,9 +37,9 @@ def read_log_chain(spark: SparkSession, base_path: str, max_files: int = 10) ->
         return spark.createDataFrame([], CHAIN_SCHEMA)
     file_name = F.col("_metadata.file_name")
     number = F.regexp_extract(
-        file_name, rf"\A{re.escape(stem)}\.([1-9][0-9]{{0,17}}){re.escape(ext)}\z", 1
+        file_name, rf"\A{re.escape(stem)}\.([1-9][0-9]{{0,18}}){re.escape(ext)}\z", 1
     )
-    age = F.when(file_name == name, F.lit(0)).when(number != "", number).cast("long")
+    age = F.when(file_name == name, F.lit(0).cast("long")).when(number != "", number.try_cast("long"))
     within = age.isNotNull() & (age <= max_files) if max_files > 0 else age.isNotNull()
     # Files are chosen by name before lines are numbered, so that no other file is opened.
     return text.filter(within).select(

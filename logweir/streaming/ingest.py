@@ -17,6 +17,7 @@ from logweir.operators.segments import assign_generations
 from logweir.session import materialize, scratch_scope
 from logweir.sources.sinks import deliver, to_logs
 from logweir.sources.store import LogStore
+from logweir.streaming.outbox import Outbox, Send
 
 #: Small files are merged after so many batches.
 COMPACT_EVERY = 64
@@ -106,17 +107,27 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
 
 
 def start_forward(
-    stream: DataFrame, rules: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+    stream: DataFrame, rules: DataFrame, out: str, checkpoint: str, trigger: dict | None = None,
+    send: Send | None = None,
 ) -> StreamingQuery:
-    """Truncated payloads per target, with a checkpoint of its own.
+    """Truncated payloads per target, with a checkpoint of its own, so that ingest goes on whatever happens here.
 
-    A target that fails stops this query alone; the ingest query goes on.
+    Without ``send`` the payloads are written to a folder per target. With it they go to an outbox below ``out``,
+    from which each target takes them at its own pace (see ``streaming.outbox``): one that fails stops no other.
     """
-    def send(df: DataFrame, batch: int) -> None:
-        deliver(forward(parse_syslog(df), rules), f"{out}/batch={batch}")
+    outbox = Outbox(stream.sparkSession, out)
+    targets = [r["target"] for r in rules.filter("enabled").select("target").distinct().collect()] if send else []
+
+    def forwarded(df: DataFrame, batch: int) -> None:
+        rows = forward(parse_syslog(df), rules)
+        if send is None:
+            deliver(rows, f"{out}/batch={batch}")
+            return
+        outbox.post(rows, batch)
+        outbox.deliver(targets, send)
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(send).start()
+        .foreachBatch(forwarded).start()
     )

@@ -13,6 +13,7 @@ from logweir.sources.datagrams import read_datagrams, stream_datagrams
 from logweir.sources.sinks import to_logs
 from logweir.sources.store import LogStore
 from logweir.streaming.follow import follow, follow_store
+from logweir.streaming.outbox import Outbox
 from logweir.streaming.ingest import (
     read_ingested, read_segments, segment_batch, start_forward, start_ingest, write_batch,
 )
@@ -172,3 +173,48 @@ def test_failed_delivery_leaves_ingest_alone(spark, tmp_path):
         stream_datagrams(spark, landing), rules(spark), f"{tmp_path}/o", f"{tmp_path}/c2"
     ).awaitTermination()
     assert read_ingested(spark, f"{tmp_path}/o").filter("sink = 'all'").count() == 20
+
+
+def test_failing_target_stops_no_other(spark, tmp_path):
+    """Three targets: one is down for good, one for its first two attempts."""
+    landing, out, sent = f"{tmp_path}/in", f"{tmp_path}/out", tmp_path / "sent"
+    sent.mkdir()
+    land(spark, landing, 0, 30)
+    land(spark, landing, 30, 50)
+    targets = spark.createDataFrame([(t, True, "*", 0) for t in ("up", "flaky", "down")], FORWARD_RULE)
+
+    def send(target, batches):
+        rows = [r for b in batches for r in b.column("seq").to_pylist()]
+        tries = len(list(sent.glob(f"{target}-try-*")))
+        (sent / f"{target}-try-{tries}").write_text("")
+        if target == "down" or target == "flaky" and tries < 2:
+            raise ConnectionError("no route to host")
+        if rows:
+            (sent / f"{target}-{min(rows)}.rows").write_text(",".join(map(str, rows)))
+
+    start_forward(
+        stream_datagrams(spark, landing, 1), targets, out, f"{tmp_path}/c", send=send
+    ).awaitTermination()
+    took = lambda target: sorted(int(x) for f in sent.glob(f"{target}-*.rows") for x in f.read_text().split(","))
+    outbox = Outbox(spark, out)
+    assert took("up") == list(range(50)) and outbox.progress("up") == {"next": 2, "failed": 0}
+    assert outbox.progress("down")["next"] == 0 and outbox.progress("down")["failed"] == 2
+    for _ in range(4):
+        left = outbox.deliver(["up", "flaky", "down"], send)
+    assert took("up") == took("flaky") == list(range(50)) and took("down") == []
+    assert sorted(r.seq for r in outbox.dead_letters("down").collect()) == list(range(50)) and left == {}
+    assert "no route to host" in outbox.dead_letters("down").first().reason
+    assert outbox.dead_letters("up").count() == 0
+
+
+def test_ingest_without_numbers_counts_arrivals(spark, tmp_path):
+    landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for lo, hi in ((500, 540), (100, 130)):  # arrival order, whatever the rows' own numbers are
+        land(spark, landing, lo, hi)
+    start_ingest(
+        stream_datagrams(spark, landing, 1, numbered=False), rules(spark), out, f"{tmp_path}/c"
+    ).awaitTermination()
+    rows = read_ingested(spark, out).filter("sink = 'all'").orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(70)) and LogStore(spark, out).commit().next_seq == 70
+    assert [r.seq for r in sorted(rows, key=lambda r: r.pos)] == list(range(70))
+    assert "text 501" in rows[1].line and "text 101" in rows[41].line
