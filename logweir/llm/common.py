@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 from logweir.session import scratch_dir
 
+#: Rows that travel to a Python worker at a time.
+BATCH_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: A word is a run of bytes other than the space and the controls TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,8 +45,11 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``df`` through a function of an iterator of Arrow batches, in no need of pandas.
 
-    Workers outlive their tasks, so what a task has held goes back to the system at its end.
+    Workers outlive their tasks, so what a task has held goes back to the system at its end. Rows go to a worker
+    BATCH_ROWS at a time, which bounds what both sides hold of long texts.
     """
+    if int(df.sparkSession.conf.get(_ROWS_KEY)) > BATCH_ROWS:
+        df.sparkSession.conf.set(_ROWS_KEY, BATCH_ROWS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
