@@ -5,10 +5,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import arrow_map
+from logweir.llm.common import arrow_map, kept, work_folder
 
 K = 10
 #: Segments of a vector on each level, coarse to fine.
@@ -124,10 +125,12 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     facts = asked.agg(F.sum(F.size("embedding")).alias("components")).first()
     passes = math.ceil((facts["components"] or 0) / QUERY_COMPONENTS)
     sample = [(r["vec_id"], r["embedding"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    found = None
+    found, folder = None, work_folder(spark, "topk")
     for turn in range(passes):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == turn).collect()  # bounded by the pass
-        answers = _one_pass(rows, _by_length([(r["vec_id"], r["embedding"]) for r in mine]), _by_length(sample), turn, k)
+        answers, sent = _one_pass(rows, _by_length([(r["vec_id"], r["embedding"]) for r in mine]), _by_length(sample), turn, k)
+        answers = kept(answers, folder, f"pass{turn}")  # one pass after another, each handing back what it sent
+        sent.destroy()
         found = answers if found is None else found.unionByName(answers)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -143,7 +146,7 @@ def _by_length(rows: list[tuple]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array([i for i, _ in own], np.int64), quantised(np.array([v for _, v in own]))) for n, own in groups.items()}
 
 
-def _one_pass(rows: DataFrame, queries: dict, sample: dict, turn: int, k: int) -> DataFrame:
+def _one_pass(rows: DataFrame, queries: dict, sample: dict, turn: int, k: int) -> tuple[DataFrame, Broadcast]:
     state = {}
     for n, (ids, own) in queries.items():
         primed = TopK(ids, own, np.full(len(ids), _LOW, np.int64), k)
@@ -172,4 +175,4 @@ def _one_pass(rows: DataFrame, queries: dict, sample: dict, turn: int, k: int) -
                          pa.array(ids), pa.array(found)], names=["query", "query_id", "vec_id", "score"])
             base += len(top.ids)
 
-    return arrow_map(rows, search, "query long, query_id long, vec_id long, score long")
+    return arrow_map(rows, search, "query long, query_id long, vec_id long, score long"), sent
