@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import arrow_map, kept, work_folder
+from logweir.llm.common import arrow_map, kept, partitions_for, work_folder
+from logweir.operators.joins import is_small
 
 RUN = r"[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,7 +34,7 @@ TIMES = 5
 #: Letter groups, and after how many levels (the length is the first) the joins look at the trie's nodes.
 GROUPS, STEPS = 16, (1, 3, 5, 8, 12, 17)
 #: Words of a node that one task walks, words that look for neighbours there at a time, and words of a leaf.
-NODE, ASKING, LEAF = 1 << 14, 1 << 17, 64
+NODE, ASKING, LEAF = 1 << 14, 1 << 15, 64
 #: Candidates that are verified together, and the longest words that are verified as rows of code points.
 PAIRS, WIDE = 1 << 17, 256
 _ROWS = "path long, word string, n long, surplus int, deficit int"
@@ -330,28 +331,34 @@ def near_pairs(words: DataFrame, folder: str, groups: int = GROUPS, steps: tuple
             left, asked = (_deeper(x, vectors, levels[turn - 1], level, s) for x, s in ((left, False), (asked, True)))
         left = kept(left, folder, f"words{turn}")
         sizes = kept(left.groupBy("path").agg(F.count("*").alias("words")), folder, f"nodes{turn}")
-        asked = kept(asked.join(sizes.select("path"), "path"), folder, f"asked{turn}")
+        asked = kept(_at_nodes(asked, sizes.select("path")), folder, f"asked{turn}")
         last = level == levels[-1]
         small = sizes if last else sizes.where(F.col("words") <= node)
         demand = asked.groupBy("path").agg(F.count("*").alias("searches"))
-        cut = small.join(demand, "path").select(
-            "path", F.ceil(F.col("words") / node).alias("blocks"), F.ceil(F.col("searches") / asking).alias("parts"))
+        cut = kept(small.join(demand, "path").select(
+            "path", F.ceil(F.col("words") / node).alias("blocks"), F.ceil(F.col("searches") / asking).alias("parts")), folder, f"cut{turn}")
         pick = lambda name: F.pmod(F.xxhash64("word"), F.col(name))
         spread = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-        own = left.join(cut, "path").withColumn("x", spread("parts")).withColumn("part", pick("blocks") * F.col("parts") + F.col("x"))
-        theirs = asked.join(cut, "path").withColumn("x", spread("blocks")).withColumn("part", F.col("x") * F.col("parts") + pick("parts"))
+        own = _at_nodes(left, cut).withColumn("x", spread("parts")).withColumn("part", pick("blocks") * F.col("parts") + F.col("x"))
+        theirs = _at_nodes(asked, cut).withColumn("x", spread("blocks")).withColumn("part", F.col("x") * F.col("parts") + pick("parts"))
         rows = own.withColumn("kind", F.lit(0)).unionByName(theirs.withColumn("kind", F.lit(1))).select(
             "path", "part", "kind", "word", "n", "surplus", "deficit")
-        dealt = rows.repartition("path", "part").sortWithinPartitions("path", "part", "kind")
+        dealt = rows.repartition(partitions_for(words), "path", "part").sortWithinPartitions("path", "part", "kind")
         pairs = kept(_searched(dealt, vectors, level), folder, f"pairs{turn}")
         found = pairs if found is None else found.unionByName(pairs)
         if last or not sizes.where(F.col("words") > node).limit(1).count():
             return found
         open_nodes = sizes.where(F.col("words") > node).select("path")
-        left, asked = left.join(open_nodes, "path"), asked.join(open_nodes, "path")
+        left, asked = _at_nodes(left, open_nodes), _at_nodes(asked, open_nodes)
     return found
 
 
+def _at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows at the given nodes. Near the top of the trie nodes are few and hold many rows, so they travel to the rows;
+    where they are many, none of them is large."""
+    return rows.join(F.broadcast(nodes) if is_small(nodes) else nodes, "path")
+
+
 def roots(words: DataFrame, folder: str) -> DataFrame:
     """(word, root) of the words with a form: forms are followed twice as far in each round. A form occurs at least
     TIMES as often as its word, so chains are as short as the logarithm of the largest count."""
