@@ -541,4 +541,9 @@ FROM cut GROUP BY sink, generation"""
             "max(event_id) + 1)) AS seq FROM events) e LEFT JOIN routed r ON r.seq = e.seq "
             "GROUP BY e.seq HAVING count(r.seq) <> 1"
         ),
+        "completeness_batches": _routed(
+            "SELECT e.seq AS seq, count(r.seq) AS copies FROM (SELECT unnest(range(min(seq), "
+            "max(seq) + 1)) AS seq FROM routed) e LEFT JOIN routed r ON r.seq = e.seq "
+            "GROUP BY e.seq HAVING count(r.seq) <> 1"
+        ),
     }

@@ -18,7 +18,7 @@ from logweir.functions.predicates import (
 )
 from logweir.functions.text import octets, rcv_iso
 from logweir.operators import paging, search as find
-from logweir.operators.audit import completeness_report
+from logweir.operators.audit import Ledger, completeness_report
 from logweir.operators.parse import PARSED_COLUMNS, parse_syslog, to_jsonl
 from logweir.operators.positions import (
     locate, log_summary, relative_positions, segment_table, with_positions,
@@ -380,6 +380,15 @@ def _console(spark: SparkSession, sf: str):
     return message_filter(CONSOLE_INCLUDE, CONSOLE_EXCLUDE)
 
 
+def _completeness_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed messages in four batches that each hold some copies of a message, the second one delivered twice."""
+    rows = materialize(route(parsed(spark, sf_dir, ("seq", "facility_code")), routes(spark)).select("seq", "sink"), "routed-numbers")
+    ledger = Ledger(spark, f"{session_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    for batch in (0, 1, 1, 2, 3):
+        ledger.add(rows.where(F.pmod(F.xxhash64("seq", "sink"), F.lit(4)) == batch), batch)
+    return ledger.report()
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of the session and the table folder."""
     q: dict[str, Query] = {}
@@ -570,4 +579,5 @@ def queries() -> dict[str, Query]:
     q["completeness_fanout"] = lambda s, sf: completeness_report(
         route(parsed(s, sf, ("seq", "facility_code")), routes(s)), "seq", *_received(s, sf)
     )
+    q["completeness_batches"] = _completeness_batches
     return q

@@ -18,6 +18,7 @@ QUICK = (
     "parse_all", "parse_documents", "route_fanout", "forward_truncated",
     "jsonl_documents", "filter_combined", "page_forward_summary", "search_numbered",
     "segments_exact", "stored_tail", "log_chain_all", "chain_tail", "grid_view_local", "completeness",
+    "completeness_batches",
 )
 NAMES = sorted(registry.queries()) if os.environ.get("LOGWEIR_ALL_QUERIES") else QUICK
 

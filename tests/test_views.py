@@ -1,10 +1,13 @@
 import datetime
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweir.functions.labels import facility_label, format_local, format_rcv, severity_label
-from logweir.operators.audit import completeness_report
+from logweir.operators import audit
+from logweir.operators.audit import Ledger, completeness_report
 from logweir.operators.views import detail_view, format_line, grid_view
 from logweir.schemas import RECORD
 
@@ -79,3 +82,25 @@ def test_completeness(spark):
     assert report() == {2: 2, 3: 0, 4: 0, 6: 0, 7: 3}
     assert report(0, 3) == {0: 0, 2: 2, 3: 0}
     assert completeness_report(rows.filter("false")).collect() == []
+
+
+def test_ledger_equals_the_report_over_all_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit, "BLOCK", 8)
+    rng = random.Random(3)
+    numbers = [x for x in range(5, 90) if x % 7 and not 30 <= x < 62] * 2 + [3, 3, 3]
+    rng.shuffle(numbers)
+    batches = [numbers[i::4] for i in range(4)] + [[], [None, 200, 200], [4]]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.report().collect() == []
+    seen = []
+    for at, batch in enumerate(batches):
+        rows = spark.createDataFrame([(x, "other") for x in batch], "seq long, copies string")
+        ledger.add(rows, at)
+        ledger.add(rows, at)
+        seen += [x for x in batch if x is not None]
+        counted = Counter(seen)
+        want = {x: counted[x] for x in range(min(seen), max(seen) + 1) if counted[x] != 1}
+        got = ledger.report().collect()
+        assert {r.seq: r.copies for r in got} == want and len(got) == len(want)
+    held, _ = ledger._tables(len(batches) - 1)
+    assert all(r.lo // 8 == r.hi // 8 == r.block for r in held.collect())
