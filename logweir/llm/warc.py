@@ -135,7 +135,11 @@ def _shared_dictionary(pages: DataFrame, size: int) -> bytes:
     """A dictionary from the beginnings of the pages with the least hash of their id and payload."""
     order = [F.xxhash64("page_id", "digest"), "page_id", "digest"]
     begun = pages.select("page_id", "url", F.substring("payload", 1, SHARED_BYTES).alias("payload"), "digest")
-    rows = begun.orderBy(*order).limit(SHARED_PAGES).collect()  # at most SHARED_PAGES times SHARED_BYTES
+    # The hashes alone first: each partition's least would otherwise all come to the driver with their payloads.
+    least = pages.select(order[0].alias("h")).orderBy("h").limit(SHARED_PAGES).agg(F.max("h")).first()[0]
+    if least is None:
+        return _dictionary([], size)
+    rows = begun.where(order[0] <= least).orderBy(*order).limit(SHARED_PAGES).collect()  # at most SHARED_PAGES times SHARED_BYTES
     return _dictionary([record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None, False) for r in rows], size)
 
 
