@@ -227,7 +227,8 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()),
                         ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
                         ("n_repeat_words", pa.int64()), ("log_ppl", pa.float64()), ("known", pa.float64()),
-                        ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+                        ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())),
+                        ("pairs", pa.list_(pa.int64())), ("pair_times", pa.list_(pa.int32()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -246,7 +247,7 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
 
     scored = kept(arrow_map(own, score, "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, "
                             "n_dup_lines long, n_repeat_words long, log_ppl double, known double, rare array<long>, "
-                            "times array<int>"), folder, "scored")
+                            "times array<int>, pairs array<long>, pair_times array<int>"), folder, "scored")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = kept(words.finished(scored).withColumn("base_failed", failed), folder, "finished")
     good = scored.where("NOT base_failed")

@@ -129,3 +129,16 @@ def test_no_rows(spark):
     assert perplexity.quality(table(spark, [(1, "a", "en")]).limit(0)).count() == 0
     got = perplexity.quality(table(spark, [(1, None, None), (2, "", "en")])).collect()
     assert [(r["n_words"], r["word_ppl"], r["kept"]) for r in got] == [(0, None, False)] * 2
+
+
+@pytest.mark.parametrize("travel", [1, 25])
+def test_pairs_that_do_not_travel_count_all_the_same(spark, corpus, monkeypatch, travel):
+    monkeypatch.setattr(word_model, "FREQUENT", 0.03)
+    monkeypatch.setattr(word_model, "PAIRS", travel)
+    got = perplexity.quality(table(spark, corpus)).select("doc_id", "word_ppl").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
+    got = sorted(((r["doc_id"], r["word_ppl"]) for r in got), key=key)
+    want = sorted(((doc_id, p) for (doc_id, *_), p in zip(corpus, plain(corpus, 0.03), strict=True)), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    for (_, a), (_, b) in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=1e-9) if b is not None else a is None
