@@ -3,7 +3,6 @@
 import sys
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -211,11 +210,8 @@ def _compacted(spark: SparkSession, sf: str) -> DataFrame:
 def _poll_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A sink read poll by poll until a poll has caught up."""
     poll = LinePoll(store(spark, sf), POLLED, f"poll-{uuid.uuid4().hex}")
-    pages = []
-    while not pages or pages[-1].count() == fixed.POLL_LINES:
-        pages.append(poll.poll())
-    rows = [page.select(F.lit(i).alias("poll"), "seq", "pos") for i, page in enumerate(pages)]
-    return reduce(DataFrame.unionByName, rows)
+    rows, full = poll.full_polls(fixed.POLL_LINES, ("seq", "pos"))
+    return rows.unionByName(poll.poll(fixed.POLL_LINES).select(F.lit(full).alias("poll"), "seq", "pos"))
 
 
 def _expired_dropped(spark: SparkSession, sf: str) -> DataFrame:

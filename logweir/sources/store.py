@@ -444,6 +444,12 @@ class SinkLog:
         condition = (F.col("pos") >= start) & (flt.condition() if flt else F.lit(True))
         return self._page(self._files(flt).where(F.col("pos_hi") > start), condition, count, False)
 
+    def after(self, pos: int, flt: LogFilter | None = None) -> DataFrame:
+        """Every row from a position on that passes the filter, in no order."""
+        found = self._files(flt, since=pos).select("path", "oldest").collect()
+        self.opened = 0
+        return self._read(found, all_of(F.col("pos") >= pos, flt.condition() if flt else None))
+
     def backward(self, pos: int, count: int = fixed.PAGE_LINES, flt: LogFilter | None = None, since: int = -1) -> DataFrame:
         """See ``paging.read_backward``."""
         condition = all_of(F.col("pos") < pos, from_position(since), flt.condition() if flt else None)

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from logweir.functions import fixed
 from logweir.functions.predicates import LogFilter, all_of, message_filter, since
+from logweir.operators.positions import running_sums
 from logweir.operators.views import format_line
 from logweir.schemas import LOG
 from logweir.sources import files
@@ -105,9 +106,29 @@ class LinePoll:
         page = self.store.sink(self.sink, at).forward(here, count, self.flt)
         last = page.agg(F.count("*").alias("n"), F.max(F.col("pos") + F.col("nbytes")).alias("end")).first()
         following = last.end if last.n == count else max(here, ends.total if ends else 0)
-        files.put(self.path, json.dumps({"position": following}).encode())
+        self._move(following)
         return page
 
+    def _move(self, position: int) -> None:
+        files.put(self.path, json.dumps({"position": position}).encode())
+
+    def full_polls(self, count: int = fixed.POLL_LINES, columns: tuple[str, ...] = tuple(LOG.names)) -> tuple[DataFrame, int]:
+        """All polls that find ``count`` lines, in one pass: their rows with the number of the poll, and how many polls.
+
+        The rows are those that :meth:`poll` returns call by call, and the cursor moves behind the last of them, so the
+        poll after this finds fewer. Rows are numbered by Spark, so a long log costs one pass and not a job for each poll.
+        """
+        at, here = self.store.commit(), self.position()
+        log = self.store.sink(self.sink, at)
+        rows = log.forward(here, 0) if at is None else log.after(here, self.flt)
+        wanted = dict.fromkeys((*columns, "sink", "pos", "nbytes"))
+        ranked = running_sums(rows.select(*wanted, F.lit(1).cast("long").alias("_one")), {"_rank": "_one"}, ["sink"], "pos")
+        full = ranked.count() // count
+        if full:
+            self._move(ranked.where(F.col("_rank") == full * count - 1).select(F.col("pos") + F.col("nbytes")).first()[0])
+        poll = F.floor(F.col("_rank") / count).cast("int").alias("poll")
+        return ranked.where(F.col("_rank") < full * count).select(poll, *columns), full
+
 
 def follow(
     rows: DataFrame, flt: LogFilter | None = None, include: Iterable[str] = (),

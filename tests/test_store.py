@@ -211,6 +211,34 @@ def test_polls_go_on_inside_a_file(spark, tmp_path):
     assert seqs(errors.poll(3)) == [1, 4, 7] and errors.position() < poll.position()
 
 
+@pytest.mark.parametrize("flt, want", [(None, list(range(30))), (LogFilter.of(sev="error"), list(range(1, 30, 3)))])
+def test_full_polls_are_the_polls_one_by_one(spark, tmp_path, flt, want):
+    store = LogStore(spark, str(tmp_path))
+    assert LinePoll(store, "a", "none", flt).full_polls(7)[1] == 0
+    store.append(rows_of(spark, 0, 20), 0)
+    store.append(rows_of(spark, 20, 10), 1)
+    one, many = LinePoll(store, "a", "one", flt), LinePoll(store, "a", "many", flt)
+    rows, full = many.full_polls(7, ("seq",))
+    assert full == len(want) // 7
+    for number in range(full):
+        page = seqs(one.poll(7))
+        assert page == want[7 * number:7 * number + 7] == sorted(r.seq for r in rows.where(F.col("poll") == number).collect())
+    assert rows.count() == 7 * full and many.position() == one.position()
+    assert seqs(many.poll(7)) == want[7 * full:] == seqs(one.poll(7))
+    rows, full = many.full_polls(7)
+    assert full == 0 and rows.count() == 0
+
+
+def test_rows_in_runs_are_written_as_they_lie(spark, tmp_path):
+    rows = rows_of(spark, 0, 40).coalesce(1)
+    files = write_files(rows, str(tmp_path), 0, clustered=True)
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    store = LogStore(spark, f"{tmp_path}/s")
+    store.append(rows.orderBy(F.desc("seq")), 0, clustered=True)  # no run at all: more files, the same rows
+    assert seqs(store.sink("a").forward(0, 100)) == list(range(40)) and seqs(store.sink("a").tail(3)) == [37, 38, 39]
+
+
 def test_arrival_numbers_are_dense_and_repeatable(spark):
     time = lambda s: datetime.datetime(2026, 1, 1, 0, 0, s)
     rows = [(f"f{f}", time(t), i) for f, t, n in ((2, 1, 3), (0, 2, 4), (1, 2, 2)) for i in range(n)]
