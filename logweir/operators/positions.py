@@ -67,14 +67,12 @@ def summed_once(
     found = totals.limit(BROADCAST_ROWS + 1).collect()
     above = {f"_base_{n}": f"_t_{s}" for n, s in sums.items()}
     if len(found) <= BROADCAST_ROWS:
-        held, rows = {}, []
-        for row in sorted(found, key=lambda r: r["_range"]):
-            at = held.setdefault(tuple(row[c] for c in by), dict.fromkeys(above, 0))
-            rows.append((*(row[c] for c in group), *(at[n] for n in above)))
-            for n, size in above.items():
-                at[n] += row[size] or 0
-        shape = T.StructType([inside.schema[c] for c in group] + [T.StructField(n, T.LongType()) for n in above])
-        bases = F.broadcast(df.sparkSession.createDataFrame(rows, shape))
+        counted = dict.fromkeys(above.values())
+        shape = T.StructType([T.StructField("_key" if c == "_range" else c, inside.schema[c].dataType) for c in group] + [
+            T.StructField(n, T.LongType()) for n in counted])
+        rows = df.sparkSession.createDataFrame([tuple(row[c] for c in (*group, *counted)) for row in found], shape)
+        small = _small_sums(rows, above, by, "_key", 2)  # of so few rows two levels are enough
+        bases = F.broadcast(small.select(*by, F.col("_key").alias("_range"), *above))
     else:
         found = None
         renamed = materialize(totals, "totals").withColumnRenamed("_range", "_key")

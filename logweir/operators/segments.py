@@ -19,13 +19,13 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from logweir.operators.joins import is_small
-from logweir.operators.positions import summed_once
+from logweir.operators.positions import DIGIT_BITS, summed_once
 from logweir.session import materialize
 
 # Task functions travel with the job, so executors need no installed copy of this package.
@@ -35,7 +35,7 @@ FAN_IN = 16
 FOLD_BYTES = 2 << 30       # log bytes the entries folded by one task may stand for
 FINE_LIMITS = 16           # a fine block spans this many limits,
 FINE_FLOOR = 64 * 1024     # but never less than this many bytes
-BLOCK_BYTES = 256 << 20    # and never more than a leaf block: text and JSONL bytes together
+BLOCK_BYTES = 64 << 20     # and never more than a leaf block, which one task holds: text and JSONL bytes together
 BROADCAST_FINE_BLOCKS = 200_000
 
 _TABLE = (
@@ -51,7 +51,19 @@ def _find(text: np.ndarray, json: np.ndarray, at_text, at_json):
     return np.minimum(np.searchsorted(text, at_text), np.searchsorted(json, at_json))
 
 
-def _leaf_table(text: np.ndarray, json: np.ndarray, limit: int) -> pd.DataFrame:
+def _schema(ddl: str) -> pa.Schema:
+    types = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.field("element", pa.int64()))}
+    return pa.schema([(name, types[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _sorted(rows: pa.Table, order: tuple[str, ...], *others: str) -> list[np.ndarray]:
+    """Columns of whole numbers, in the order of the first ones."""
+    keys = [rows.column(c).to_numpy() for c in order]
+    at = np.lexsort(keys[::-1])
+    return [k[at] for k in keys] + [rows.column(c).to_numpy()[at] for c in others]
+
+
+def _leaf_table(text: np.ndarray, json: np.ndarray, limit: int) -> dict[str, np.ndarray]:
     """Entry table of one block of rows, chains followed for all entries at once by doubling."""
     n = len(text)
     step = _find(text, json, text + limit, json + limit)
@@ -66,94 +78,106 @@ def _leaf_table(text: np.ndarray, json: np.ndarray, limit: int) -> pd.DataFrame:
         jump = jump[jump]
     entries = min(n, int(step[0]) + 1)
     final = end[:entries]
-    return pd.DataFrame({
+    return {
         "entry_text": text[:entries], "entry_json": json[:entries],
         "exit_text": text[final] + limit, "exit_json": json[final] + limit,
         "starts": count[:entries],
-    })
+    }
 
 
-def _advance(table: pd.DataFrame, at_text: np.ndarray, at_json: np.ndarray, starts: np.ndarray):
+def _advance(table: dict[str, np.ndarray], at_text: np.ndarray, at_json: np.ndarray, starts: np.ndarray):
     """Push pending triggers through one child table; those past its rows stay as they are."""
-    found = _find(
-        table["entry_text"].to_numpy(), table["entry_json"].to_numpy(), at_text, at_json
-    )
-    hit = found < len(table)
+    found = _find(table["entry_text"], table["entry_json"], at_text, at_json)
+    hit = found < len(table["starts"])
     row = found[hit]
     at_text, at_json, starts = at_text.copy(), at_json.copy(), starts.copy()
-    at_text[hit] = table["exit_text"].to_numpy()[row]
-    at_json[hit] = table["exit_json"].to_numpy()[row]
-    starts[hit] += table["starts"].to_numpy()[row]
+    at_text[hit] = table["exit_text"][row]
+    at_json[hit] = table["exit_json"][row]
+    starts[hit] += table["starts"][row]
     return at_text, at_json, starts
 
 
-def _children(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    ordered = pdf.sort_values(["node", "entry_text", "entry_json"], kind="stable")
-    yield from ordered.groupby("node", sort=True)
+def _children(tables: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    order, rest = ("node", "entry_text", "entry_json"), ("exit_text", "exit_json", "starts")
+    node, *columns = _sorted(tables, order, *rest)
+    edges = np.flatnonzero(np.diff(node, prepend=node[:1] - 1)).tolist()
+    for low, high in zip(edges, [*edges[1:], len(node)], strict=True):
+        yield int(node[low]), {n: c[low:high] for n, c in zip((*order[1:], *rest), columns, strict=True)}
+
 
+def _table(sink: pa.Scalar, node: pa.Scalar, table: dict[str, np.ndarray]) -> pa.Table:
+    n = len(table["starts"])
+    return pa.table({"sink": pa.repeat(sink, n).cast(pa.string()), "node": pa.repeat(node, n), **table}, schema=_schema(_TABLE))
 
-def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _leaf(key: tuple, rows: pa.Table) -> pa.Table:
+    text, json = _sorted(rows, ("text_pos", "json_pos"))
+    return _table(*key, _leaf_table(text, json, rows.column("max_bytes")[0].as_py()))
+
+
+def _fold(key: tuple, tables: pa.Table) -> pa.Table:
     """Entry table of a parent from those of its children."""
-    sink, parent = key
-    limit = int(pdf["max_bytes"].iloc[0])
+    limit = tables.column("max_bytes")[0].as_py()
     kept: dict[str, np.ndarray] = {}
     open_until = None
-    for _, table in _children(pdf):
+    for _, table in _children(tables):
         if kept:
             kept["exit_text"], kept["exit_json"], kept["starts"] = _advance(
                 table, kept["exit_text"], kept["exit_json"], kept["starts"]
             )
-        text, json = table["entry_text"].to_numpy(), table["entry_json"].to_numpy()
+        text, json = table["entry_text"], table["entry_json"]
         if open_until is None:
             open_until = (text[0] + limit, json[0] + limit)
             more = True
         if more:
             stop = int(_find(text, json, *open_until))
-            more = stop >= len(table)
-            part = table.iloc[: stop + 1]
-            columns = ("entry_text", "entry_json", "exit_text", "exit_json", "starts")
+            more = stop >= len(text)
             kept = {
-                c: np.concatenate([kept[c], part[c].to_numpy()]) if kept else part[c].to_numpy()
-                for c in columns
+                c: np.concatenate([kept[c], column[: stop + 1]]) if kept else column[: stop + 1]
+                for c, column in table.items()
             }
-    return pd.DataFrame({"sink": sink, "node": parent, **kept})
+    return _table(*key, kept)
 
 
-def _hand_down(key: tuple, tables: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _hand_down(key: tuple, tables: pa.Table, state: pa.Table) -> pa.Table:
     """State on entering each child of one parent."""
     at_text, at_json, starts = (
-        state[c].to_numpy()[:1] for c in ("exit_text", "exit_json", "starts")
+        state.column(c).to_numpy()[:1] for c in ("exit_text", "exit_json", "starts")
     )
     rows = []
     for node, table in _children(tables):
-        rows.append((key[0], node, int(at_text[0]), int(at_json[0]), int(starts[0])))
+        rows.append((node, int(at_text[0]), int(at_json[0]), int(starts[0])))
         at_text, at_json, starts = _advance(table, at_text, at_json, starts)
-    return pd.DataFrame(rows, columns=["owner", "node", "exit_text", "exit_json", "starts"])
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table(
+        [pa.repeat(key[0], len(rows)).cast(pa.string()), *[pa.array(c, pa.int64()) for c in columns]], schema=_schema(_STATE)
+    )
 
 
-def _mark(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _mark(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
     """Generation at the start of every fine block of a leaf, and the cuts inside it."""
-    if rows.empty:
-        return pd.DataFrame(columns=["sink", "fine", "first_generation", "cuts"])
-    rows = rows.sort_values(["text_pos", "json_pos"], kind="stable")
-    text, json = rows["text_pos"].to_numpy(), rows["json_pos"].to_numpy()
-    limit, n = int(rows["max_bytes"].iloc[0]), len(rows)
-    step = _find(text, json, text + limit, json + limit).tolist()
-    at = int(_find(text, json, int(state["exit_text"].iloc[0]), int(state["exit_json"].iloc[0])))
+    shape = _schema(_MARKS)
+    if not rows.num_rows:
+        return shape.empty_table()
+    text, json, fine = _sorted(rows, ("text_pos", "json_pos"), "fine")
+    limit, n = rows.column("max_bytes")[0].as_py(), len(text)
+    step = _find(text, json, text + limit, json + limit)
+    at = int(_find(text, json, *(state.column(c)[0].as_py() for c in ("exit_text", "exit_json"))))
     opens = np.zeros(n, dtype=np.int64)
     while at < n:
         opens[at] = 1
-        at = step[at]
-    generation = int(state["starts"].iloc[0]) + np.cumsum(opens)
-    fine, place = rows["fine"].to_numpy(), text + json
+        at = int(step[at])
+    generation = state.column("starts")[0].as_py() + np.cumsum(opens)
+    place = text + json
     first = np.flatnonzero(np.append(True, fine[1:] != fine[:-1]))
     cuts = [
-        place[a:b][1:][opens[a:b][1:] == 1].tolist()
+        place[a:b][1:][opens[a:b][1:] == 1]
         for a, b in zip(first, np.append(first[1:], n))
     ]
-    return pd.DataFrame({
-        "sink": key[0], "fine": fine[first], "first_generation": generation[first], "cuts": cuts,
-    })
+    return pa.table({
+        "sink": pa.repeat(key[0], len(first)).cast(pa.string()), "fine": fine[first], "first_generation": generation[first],
+        "cuts": pa.array(cuts, shape.field("cuts").type),
+    }, schema=shape)
 
 
 def exact_cuts(
@@ -168,13 +192,6 @@ def exact_cuts(
     """
     tables = []
 
-    def leaf(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["text_pos", "json_pos"], kind="stable")
-        table = _leaf_table(
-            pdf["text_pos"].to_numpy(), pdf["json_pos"].to_numpy(), int(pdf["max_bytes"].iloc[0])
-        )
-        return table.assign(sink=key[0], node=key[1])[[c.split()[0] for c in _TABLE.split(", ")]]
-
     if known:
         limits, depth_of, longest = known
     else:
@@ -185,7 +202,7 @@ def exact_cuts(
     if depth_of is not None and depth_of > 0:
         level = rows.select("sink", "leaf", "text_pos", "json_pos", "max_bytes").groupBy(
             "sink", "leaf"
-        ).applyInPandas(leaf, _TABLE)
+        ).applyInArrow(_leaf, _TABLE)
         top = depth_of
         while top > 0:
             tables.append(materialize(level, "segment-level"))
@@ -194,7 +211,7 @@ def exact_cuts(
                 level = (
                     tables[-1].join(F.broadcast(limits), "sink")
                     .withColumn("parent", F.expr(f"node DIV {fan_in}"))
-                    .groupBy("sink", "parent").applyInPandas(_fold, _TABLE)
+                    .groupBy("sink", "parent").applyInArrow(_fold, _TABLE)
                 )
 
     # The segment open at the start began ``carry`` bytes before position 0.
@@ -215,10 +232,10 @@ def exact_cuts(
         parents = table.withColumn("parent", F.expr(f"node DIV {fan_in}"))
         state = parents.groupBy("sink", "parent").cogroup(
             state.groupBy("owner", "node")
-        ).applyInPandas(_hand_down, _STATE)
+        ).applyInArrow(_hand_down, _STATE)
     return (
         rows.groupBy("sink", "leaf").cogroup(state.groupBy("owner", "node"))
-        .applyInPandas(_mark, _MARKS)
+        .applyInArrow(_mark, _MARKS)
     )
 
 
@@ -240,7 +257,8 @@ def assign_generations(
     ``sums`` names further running sums to add from the same shuffle, such as the position.
 
     ``df`` has sink, seq and the bytes each row adds to the text and JSONL outputs (``text_bytes``,
-    ``json_bytes``). ``max_bytes`` is a number or a per-sink column; null is one endless segment.
+    ``json_bytes``). ``max_bytes`` is a number or a per-sink column; null is one endless segment. Rows come out
+    in runs of consecutive ``seq``, however large the tables joined to them are, so writers need not sort them.
     A sink that writes neither output never fills a segment, so its rows keep generation 0.
     """
     limit = F.lit(max_bytes) if max_bytes is None or isinstance(max_bytes, int) else max_bytes
@@ -267,12 +285,16 @@ def assign_generations(
     marks = materialize(
         exact_cuts(bounded, carry, fan_in, _known(df, totals, block_bytes)), "segment-cuts"
     )
-    if is_small(marks, BROADCAST_FINE_BLOCKS):
+    small = is_small(marks, BROADCAST_FINE_BLOCKS)
+    if small:
         marks = F.broadcast(marks)
     passed = F.size(F.filter("cuts", lambda cut: cut <= F.col("_place")))
     joined = cut_rows.withColumn("_place", place).join(marks, ["sink", "fine"], "left")
     generation = F.coalesce(F.col("first_generation") + passed, F.lit(0)).cast("long")
-    return joined.select(*given, generation.alias("generation"))
+    done = joined.select(*given, generation.alias("generation"))
+    if totals is None or not small:  # such joins deal the rows out anew
+        done = done.repartition("sink", F.shiftright("seq", DIGIT_BITS)).sortWithinPartitions("sink", "seq")
+    return done
 
 
 def _known(df: DataFrame, totals: list[Row] | None, block_bytes: int) -> tuple[DataFrame, int | None, int | None] | None:

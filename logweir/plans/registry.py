@@ -34,7 +34,7 @@ from logweir.schemas import DATAGRAM, FORWARD_RULE, RECORD, ROUTE
 from logweir.session import materialize, session_folder
 from logweir.sources import files
 from logweir.sources.chain import chain_positions, parse_jsonl, read_log_chain
-from logweir.sources.datagrams import read_datagrams, stream_datagrams
+from logweir.sources.datagrams import read_datagrams, spread, stream_datagrams
 from logweir.sources.sinks import (
     drop_expired, read_logs, to_logs, write_jsonl, write_logs, write_text,
 )
@@ -100,7 +100,8 @@ def conversation_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def routed_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of every sink with line and sizes."""
-    fanned = route(to_jsonl(parsed(spark, sf)), routes(spark), "write_text", "write_jsonl")
+    messages = parse_syslog(spread(event_datagrams(spark, sf)))
+    fanned = route(to_jsonl(messages), routes(spark), "write_text", "write_jsonl")
     return to_logs(fanned).drop("write_text", "write_jsonl")
 
 
@@ -187,7 +188,7 @@ def _once(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession,
 def new_store(spark: SparkSession, sf: str) -> str:
     """A log store with all messages of every sink."""
     out = new_folder(spark, "store")
-    LogStore(spark, out).append(segmented(spark, sf), 0, file_bytes=STORE_FILE_BYTES)
+    LogStore(spark, out).append(segmented(spark, sf), 0, file_bytes=STORE_FILE_BYTES, clustered=True)
     return out
 
 

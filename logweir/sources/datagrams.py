@@ -9,6 +9,18 @@ from logweir.schemas import DATAGRAM
 #: Where a datagram without a number was read from.
 PLACE = {"file_time": "_metadata.file_modification_time", "file_name": "_metadata.file_path", "row_index": "_metadata.row_index"}
 
+#: Most datagrams that one task parses and fans out at a time; a row group of a file may hold a million.
+SPREAD_ROWS = 50_000
+
+
+def spread(datagrams: DataFrame) -> DataFrame:
+    """The same datagrams dealt out over tasks of bounded size, while they are narrow.
+
+    Parsed and fanned out they are several times as large, and what one task sends on would not fit its memory.
+    """
+    parts = -(-datagrams.count() // SPREAD_ROWS)
+    return datagrams.repartition(parts, "seq") if parts > 1 else datagrams
+
 
 def read_datagrams(spark: SparkSession, path: str) -> DataFrame:
     """(seq, rcv, src, payload) rows of a parquet folder."""

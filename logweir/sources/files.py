@@ -4,6 +4,7 @@ Works from the driver and inside tasks alike, and needs no access to Spark's JVM
 """
 
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -67,6 +68,20 @@ def read(path: str) -> bytes:
         return stream.read()
 
 
+def lines(path: str, size: int) -> Iterator[list[str]]:
+    """Lines of a text file, each ended by a newline, some at a time: about ``size`` bytes are held, and the longest line."""
+    system, place = file_system(path)
+    with system.open_input_stream(place) as stream:
+        rest = b""
+        while block := stream.read(size):
+            whole, newline, tail = block.rpartition(b"\n")
+            if newline:
+                yield (rest + whole).decode("utf-8").split("\n")
+                rest = tail
+            else:
+                rest += block
+
+
 def delete_file(path: str) -> bool:
     """Remove a file; whether it was there."""
     system, place = file_system(path)

@@ -35,6 +35,8 @@ for _module in (sys.modules[__name__], files, grams):
 
 #: Most bytes of log in a data file, so of what one task writes at a time; rows of a row group.
 FILE_BYTES, GROUP_ROWS = 128 << 20, 1 << 16
+#: Small files that one task reads or deletes, and bytes of lines that it reads at a time.
+TASK_FILES, READ_BYTES = 500, 4 << 20
 #: A page opens so many files first, and four times as many after each miss.
 FIRST_FILES = 2
 
@@ -148,8 +150,8 @@ def write_files(placed: DataFrame, out: str, batch: int, outputs: tuple[str, ...
     """Rows with sink, generation and position as files of the store; their catalogue rows.
 
     A sink's rows are dealt out by ranges of ``file_bytes`` of its log, so neither a busy sink nor an endless
-    segment is one task. Rows that lie in long runs already (``clustered``), as positions leave them, stay where
-    they are: a file ends where a run or its ``file_bytes`` end. Each evaluation of the result writes files of its
+    segment is one task. Rows that lie in long runs already (``clustered``), as positions leave them, stay where and
+    as they are, so they are neither sent nor sorted again: a file ends where a run or its ``file_bytes`` end. Each evaluation of the result writes files of its
     own; nothing is ever moved.
     """
     line, raw = F.col("line"), F.col("raw")
@@ -158,7 +160,7 @@ def write_files(placed: DataFrame, out: str, batch: int, outputs: tuple[str, ...
         *LOG.names, F.floor(F.col("pos") / file_bytes).alias("_chunk"),
         F.when(~plain, F.lower(line)).alias("_lowered"),
         F.when(~is_utf8(raw), F.encode(repair_view(byte_view(raw)), "UTF-8")).alias("_repaired"))
-    dealt = (rows if clustered else rows.repartition("sink", "_chunk")).sortWithinPartitions("sink", "pos")
+    dealt = rows if clustered else rows.repartition("sink", "_chunk").sortWithinPartitions("sink", "pos")
     names, shape, schema = LOG.names, to_arrow_schema(FILE), to_arrow_schema(LOG)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +272,21 @@ class LogStore:
     def lines(self, output: str) -> DataFrame:
         """(sink, generation, line) of every kept line of the text or JSONL output, read where its files are."""
         out = self.out
-        wanted = self.parts().where(F.col(output).isNotNull()).select("sink", "generation", F.col(output).alias("path"))
+        size = F.col("text_bytes" if output == "text" else "json_bytes")
+        wanted = self.parts().where(F.col(output).isNotNull()).select("sink", "generation", F.col(output).alias("path"), size.alias("size"))
+        told = wanted.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+        # Names are small and what they name is not, so tasks are counted by files and bytes.
+        tasks = 1 + told["n"] // TASK_FILES + (told["size"] or 0) // FILE_BYTES
         shape = pa.schema([("sink", pa.string()), ("generation", pa.int64()), ("line", pa.string())])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    lines = files.read(f"{out}/{row['path']}").decode("utf-8").split("\n")[:-1]
-                    for start in range(0, len(lines), 10_000):
-                        some = lines[start:start + 10_000]
+                    for some in files.lines(f"{out}/{row['path']}", READ_BYTES):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([row["sink"]] * len(some)), pa.array([row["generation"]] * len(some)), pa.array(some, pa.string())], schema=shape)
 
-        return wanted.repartition("path").mapInArrow(task, "sink string, generation long, line string")
+        return wanted.drop("size").repartition(tasks, "path").mapInArrow(task, "sink string, generation long, line string")
 
     def sink(self, name: str, at: Commit | None = None) -> "SinkLog":
         """One sink, at a version or at whatever is the newest when it is asked."""
@@ -336,7 +340,8 @@ class LogStore:
             gone = sum(files.delete_file(f"{out}/{p}") for b in batches for p in b.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"gone": [gone]})
 
-        return paths.select("path").mapInArrow(task, "gone long").agg(F.sum("gone")).first()[0] or 0
+        tasks = 1 + paths.count() // TASK_FILES  # of names in the catalogue
+        return paths.select("path").repartition(tasks, "path").mapInArrow(task, "gone long").agg(F.sum("gone")).first()[0] or 0
 
     def compact(self, file_bytes: int = FILE_BYTES, most: int = 10_000) -> int:
         """Merge small files that follow one another in a range of ``file_bytes`` of their log; how many files went in.

@@ -15,6 +15,7 @@ from logweir.operators.parse import parse_syslog, to_jsonl
 from logweir.operators.routing import Router, forward
 from logweir.operators.segments import assign_generations
 from logweir.session import materialize, scratch_scope
+from logweir.sources.datagrams import spread
 from logweir.sources.sinks import deliver, to_logs
 from logweir.sources.store import LogStore
 from logweir.streaming.outbox import Outbox, Send
@@ -73,6 +74,7 @@ def _write_batch(
 ) -> None:
     at = store.commit()
     numbered, next_seq = number_arrivals(datagrams, at.next_seq if at else 0)
+    numbered = spread(numbered)
     # The line is built once per message, before the fan-out; the outputs come with the rule.
     logs = to_logs(router(to_jsonl(parse_syslog(numbered)))).drop(*OUTPUTS)
     placed = segment_batch(logs, routes, store.state(at))

@@ -38,6 +38,23 @@ def test_exact_cuts_equal_the_sequential_rule(spark, monkeypatch, n, limit, long
     assert {(r.sink, r.seq): r.generation for r in got} == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_come_out_in_runs(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(segments, "BROADCAST_FINE_BLOCKS", 0)
+        monkeypatch.setattr(segments, "FINE_FLOOR", 300)
+        monkeypatch.setattr(segments, "FINE_LIMITS", 2)
+    rows = [(s, i, 7, 9) for i in range(400) for s in ("a", "b")]
+    got = assign_generations(spark.createDataFrame(rows, SIZES).repartition(4), 100, sums={"pos": "json_bytes"})
+    parts = got.select("sink", "seq", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    breaks = sum((a.sink, a.seq + 1) != (b.sink, b.seq) for a, b in zip(parts, parts[1:]))
+    assert len(parts) == 800 and breaks <= 2 * len({r.part for r in parts})
+
+
+def test_a_block_holds_no_more_than_a_task_can():
+    assert segments.BLOCK_BYTES <= 64 << 20  # some 130,000 short messages
+
+
 def test_one_byte_limit_gives_a_segment_per_row(spark):
     frame = spark.createDataFrame([("s", i, 2, 50) for i in range(3)], SIZES)
     got = assign_generations(frame, 1).orderBy("seq").collect()

@@ -229,6 +229,27 @@ def test_full_polls_are_the_polls_one_by_one(spark, tmp_path, flt, want):
     assert full == 0 and rows.count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 5, 1 << 20])
+def test_lines_are_read_some_at_a_time(tmp_path, size):
+    want = ["", "é", "a\rb", "x" * 40, "", "end"]
+    (tmp_path / "f").write_bytes("".join(line + "\n" for line in want).encode())
+    read = list(files.lines(str(tmp_path / "f"), size))
+    assert [line for some in read for line in some] == want and (size > 1 or len(read) == len(want))
+    (tmp_path / "none").write_bytes(b"")
+    assert list(files.lines(str(tmp_path / "none"), size)) == []
+
+
+def test_many_small_files_are_read_and_deleted_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("logweir.sources.store.TASK_FILES", 1)
+    store = LogStore(spark, str(tmp_path))
+    at = store.append(rows_of(spark, 0, 80), 0)
+    read = store.lines("jsonl")
+    assert read.rdd.getNumPartitions() > 3 and read.count() == store.rows().where("json_bytes > 0").count()
+    limits = spark.createDataFrame([("a", 1), ("b", 1)], "sink string, max_files int")
+    store.append(rows_of(spark, 80, 40), 1, limits)
+    assert store.expire(at) > 0 and store.lines("jsonl").count() == store.rows().where("json_bytes > 0").count()
+
+
 def test_rows_in_runs_are_written_as_they_lie(spark, tmp_path):
     rows = rows_of(spark, 0, 40).coalesce(1)
     files = write_files(rows, str(tmp_path), 0, clustered=True)
