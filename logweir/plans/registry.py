@@ -170,7 +170,7 @@ def _text_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf: str) -> str:
     path = f"{new_folder(spark, 'stored')}/logs"
-    write_logs(segmented(spark, sf), path)
+    write_logs(segmented(spark, sf), path, clustered=True)
     return path
 
 

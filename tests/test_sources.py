@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logweir.functions.predicates import LogFilter
 from logweir.operators import paging
 from logweir.schemas import ROUTE
+from logweir.sources import sinks
 from logweir.sources.chain import chain_positions, parse_jsonl, read_log_chain
 from logweir.sources.log_table import LogTable
 from logweir.sources.sinks import drop_expired, read_logs, write_jsonl, write_logs, write_text
@@ -160,3 +161,51 @@ def test_a_cluster_needs_a_shared_folder():
     settings = {"spark.master": "yarn"}
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=settings.get)))
+
+
+def test_segments_expire_by_the_names_of_their_folders(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/logs"
+    stored(spark, path)
+    for n in (3, 9):  # no file is opened
+        folder = tmp_path / "logs" / "sink=a" / f"generation={n}"
+        for file in folder.iterdir():
+            if file.name.startswith("part-"):
+                file.write_bytes(b"no parquet")
+    monkeypatch.setattr(sinks, "TASK_SEGMENTS", 2)
+    rules = spark.createDataFrame([("a", "*", True, True, True, None, 1)], ROUTE)
+    assert drop_expired(spark, path, rules) == 8
+    assert sorted(os.listdir(f"{path}/sink=a")) == ["generation=8", "generation=9"]
+    assert len(os.listdir(f"{path}/sink=007")) == 10
+
+
+def test_folders_of_batches_are_found(spark, tmp_path):
+    for batch, generation in ((0, 0), (0, 1), (1, 1), (1, 2)):
+        for sink in ("a", "b"):
+            os.makedirs(f"{tmp_path}/logs/batch={batch}/sink={sink}/generation={generation}")
+    got = sinks.segment_folders(spark, f"{tmp_path}/logs")
+    assert got.count() == 8
+    rules = spark.createDataFrame([("a", "*", True, True, True, None, 1)], ROUTE)
+    assert drop_expired(spark, f"{tmp_path}/logs", rules) == 1
+    assert os.listdir(f"{tmp_path}/logs/batch=0/sink=a") == ["generation=1"]
+
+
+def test_stored_segments_come_back(spark, tmp_path, monkeypatch):
+    """Odd names of sinks, nulls, several batches of one segment and clustered rows; a failed job leaves nothing."""
+    path = f"{tmp_path}/logs"
+    full = stored(spark, f"{tmp_path}/other")
+    names = ["a/b=c d", "ü%41", "007", None]
+    odd = full.withColumn("sink", F.array(*map(F.lit, names))[(F.col("generation") % 4).cast("int")])
+    odd = odd.withColumn("generation", F.when(F.col("seq") > 3, F.col("generation"))).withColumn("rcv", F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    monkeypatch.setattr(sinks, "GROUP_ROWS", 3)
+    wanted = sorted(map(repr, odd.collect()))
+    for clustered in (False, True):
+        write_logs(odd, path, clustered=clustered)
+        assert sorted(map(repr, read_logs(spark, path).collect())) == wanted
+    write_logs(odd, path, "append")
+    assert sorted(map(repr, read_logs(spark, path).collect())) == sorted(2 * wanted)
+    with pytest.raises(Exception):
+        write_logs(odd.withColumn("pos", F.raise_error(F.lit("lost")).cast("long")), path)
+    assert read_logs(spark, path).count() == 2 * len(wanted)
+    assert not [n for n in os.listdir(tmp_path) if "staged" in n]
+    write_logs(odd.limit(0), path)
+    assert read_logs(spark, path).count() == 0
