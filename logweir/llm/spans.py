@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,33 +32,66 @@ _LAST = (1 << 63) - 1  # stands for a null id
 def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, list[str]]]:
     """(start, words in lower case) of each sentence of a text."""
     found = []
+    lower = _lowered(text)
     for m in _SENTENCE.finditer(text):
-        own = m.group().lower().split()
+        start, end = m.span()
+        own = m.group().lower().split() if lower is None else lower[start:end].split()
         if len(own) <= longest:
-            found.append((m.start(), own))
+            found.append((start, own))
         else:
-            starts = [w.start() for w in _WORD.finditer(text, m.start(), m.end())]
-            raw = [w.lower() for w in m.group().split()]
-            places = cuts(raw)
-            found += [(starts[i], raw[i:j]) for i, j in zip(places, [*places[1:], len(raw)], strict=True)]
+            places, starts, raw = _pieces(text, lower, start, end)
+            found += [(at, raw[i:j]) for at, i, j in zip(starts, places, [*places[1:], len(raw)], strict=True)]
     return found
 
 
+def sentence_starts(text: str, longest: int = LONGEST) -> list[int]:
+    """Where each of the :func:`sentences` of a text starts; words are looked at in those alone that may be too long."""
+    found = []
+    lower = _lowered(text)
+    for m in _SENTENCE.finditer(text):
+        start, end = m.span()
+        # Two characters a word and one more at the end: so short a sentence has no more words.
+        if end - start < 2 * longest or len(m.group().split()) <= longest:
+            found.append(start)
+        else:
+            found += _pieces(text, lower, start, end)[1]
+    return found
+
+
+def _lowered(text: str) -> str | None:
+    """The text in lower case, if that changes each character by itself alone into one other."""
+    return None if "\u0130" in text or "\u03a3" in text else text.lower()
+
+
+def _pieces(text: str, lower: str | None, start: int, end: int) -> tuple[list[int], list[int], list[str]]:
+    """The first word of each piece of a long sentence, where it starts in the text, and the words in lower case."""
+    raw = [w.lower() for w in text[start:end].split()] if lower is None else lower[start:end].split()
+    places = cuts(raw)
+    ends = list(accumulate(map(len, raw), initial=start))
+    if lower is not None and len(lower[start:end].rstrip()) == ends[-1] - start + len(raw) - 1:  # one space between any two
+        return places, [ends[i] + i for i in places], raw
+    starts = [w.start() for w in _WORD.finditer(text, start, end)]
+    return places, [starts[i] for i in places], raw
+
+
 def cuts(own: list[str]) -> list[int]:
     """First words of the pieces of a sentence: its first, and the last word of least hash in each window of
     ``NEAR``. Two sentences that share a passage are cut alike in it, but for ``NEAR`` words at its ends."""
     if len(own) <= NEAR:
         return [0]
     # A word's hash goes with those of the two before it, since a common word alone would cut too often.
-    single = np.array([xxhash.xxh3_64_intdigest(w) for w in own], np.uint64)
+    single = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
     hashes = single * _BASES[0]
     hashes[1:] += single[:-1] * _BASES[1]
     hashes[2:] += single[:-2]
     hashes ^= hashes >> np.uint64(31)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], NEAR)
-    least = len(own) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))
-    return [0, *np.unique(least[least > 0]).tolist()]
+    back, n = hashes[::-1].copy(), len(own) - NEAR + 1
+    windows = np.ndarray((n, NEAR), np.uint64, back, 0, (8, 8))
+    least = (len(own) - 1 - np.arange(n) - windows.argmin(axis=1))[::-1]  # never falls, as windows go on
+    first = np.empty(n, bool)
+    first[0], first[1:] = least[0] > 0, least[1:] != least[:-1]
+    return [0, *least[first].tolist()]
 
 
 def runs(counts: list[int], least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +102,9 @@ def runs(counts: list[int], least: int = SENTENCES, words: int = WORDS) -> tuple
     here = np.arange(n)
     last = np.maximum(here + least - 1, np.searchsorted(ends, ends[:-1] + words) - 1)
     first = np.minimum(here - least + 1, np.searchsorted(ends, ends[1:] - words, "right") - 1)
-    pairs = np.concatenate([np.stack([here, last], 1)[last < n], np.stack([first, here], 1)[first >= 0]])
-    pairs = np.unique(pairs, axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    forward, back = last < n, first >= 0
+    pairs = np.unique(np.concatenate([here[forward] * n + last[forward], first[back] * n + here[back]]))
+    return np.divmod(pairs, max(n, 1))
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -172,9 +206,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def _without(text: str, gone: list[int] | None) -> tuple[str, int, int]:
-    starts = [s for s, _ in sentences(text)]
+    starts = sentence_starts(text)
+    if not gone:
+        return text, len(starts), 0
     removed = np.zeros(len(starts), bool)
-    for run in gone or ():
+    for run in gone:
         removed[run >> 8:(run >> 8) + (run & 255) + 1] = True
     if removed.any():
         bounds = [0, *starts[1:], len(text)]
