@@ -33,7 +33,7 @@ DEVIATION = 1.4826
 STEP = 0.005
 
 # Fixed values of the base rules.
-MARKS = frozenset(b"#*$%&|<>")
+MARKS, GAPS = b"#*$%&|<>", b" \t\n\v\f\r"
 
 
 def _classes() -> np.ndarray:
@@ -146,16 +146,13 @@ def _find(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, held[place] == wanted
 
 
-def _logp(model: list[tuple], grams: np.ndarray, order: int, own: np.ndarray | None = None) -> np.ndarray:
-    """Log-probability of the last symbol of each n-gram after the others. An n-gram that was not seen, or
-    not oftener than the ``own`` count of the text in question, has the weight of its context times the
-    probability in the shorter one."""
+def _logp(model: list[tuple], grams: np.ndarray, order: int) -> np.ndarray:
+    """Log-probability of the last symbol of each n-gram after the others. An n-gram that was not seen has the weight
+    of its context times the probability in the shorter one."""
     if order == 0:
         return np.full(len(grams), -np.log(SYMBOLS))
-    held, logp, heads, weights, counts = model[order - 1]
+    held, logp, heads, weights, _ = model[order - 1]
     place, known = _find(held, grams)
-    if own is not None:
-        known &= counts[place] > own
     out = np.empty(len(grams))
     out[known] = logp[place[known]]
     rest = grams[~known]
@@ -167,13 +164,40 @@ def _logp(model: list[tuple], grams: np.ndarray, order: int, own: np.ndarray | N
     return out
 
 
-def log_perplexity(model: list, symbols: np.ndarray) -> float | None:
+class Spelling:
+    """The model with the place of every possible n-gram and the weight of every context, so that none is searched for."""
+
+    def __init__(self, model: list[tuple]):
+        self.orders = []
+        for order, (grams, logp, heads, weights, counts) in enumerate(model, 1):
+            held, back = np.full(SYMBOLS**order, -1, np.int32), np.zeros(SYMBOLS ** (order - 1))
+            held[grams] = np.arange(len(grams))
+            back[heads] = weights
+            self.orders.append((held, logp, back, counts) if len(grams) else (held, np.zeros(1), back, np.zeros(1)))
+
+    def logp(self, grams: np.ndarray, order: int = ORDER, own: np.ndarray | None = None) -> np.ndarray:
+        """The same as :func:`_logp`, but that an n-gram seen no oftener than its ``own`` count in the text in
+        question counts as one that was not seen."""
+        if order == 0:
+            return np.full(len(grams), -np.log(SYMBOLS))
+        held, logp, back, counts = self.orders[order - 1]
+        place = held[grams]
+        unknown = place < 0 if own is None else (place < 0) | (counts[place] <= own)
+        out = logp[place]
+        rest = grams[unknown]
+        if len(rest):
+            out[unknown] = back[rest // SYMBOLS] + self.logp(rest % SYMBOLS ** (order - 1), order - 1)
+        return out
+
+
+def log_perplexity(model: list | Spelling, symbols: np.ndarray) -> float | None:
     """Mean negative log-probability a symbol; none for an empty text."""
     grams = Symbols.grams(symbols)
     if not len(grams):
         return None
     own, n = np.unique(grams, return_counts=True)
-    return float(-(_logp(model, own.astype(np.int64), ORDER, n) * n).sum() / len(grams))
+    model = model if isinstance(model, Spelling) else Spelling(model)
+    return float(-(model.logp(own, ORDER, n) * n).sum() / len(grams))
 
 
 def base_counts(text: str | None, own: list[bytes] | None = None, at: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
@@ -183,15 +207,13 @@ def base_counts(text: str | None, own: list[bytes] | None = None, at: np.ndarray
         return 0, 0, 0, 0, 0
     raw = text.encode("utf-8")
     own = raw.split() if own is None else own
-    points = np.frombuffer(raw, np.uint8)
-    starts = np.count_nonzero((points & 0xC0) != 0x80)
-    gaps = np.count_nonzero((points == 32) | ((points >= 9) & (points <= 13)))
-    marks = sum(raw.count(bytes([m])) for m in MARKS)
-    lines = [line for line in raw.split(b"\n") if line.split()] if b"\n" in raw else []
+    gaps = len(raw) - len(raw.translate(None, GAPS))
+    marks = len(raw) - len(raw.translate(None, MARKS))
+    lines = [line for line in raw.split(b"\n") if line and not line.isspace()] if b"\n" in raw else []
     if at is None:
         number: dict[bytes, int] = {}
         at = np.array([number.setdefault(w, len(number)) for w in own], np.int64)
-    return len(own), int(starts - gaps), marks, len(lines) - len(set(lines)), repeated_words(at)
+    return len(own), len(text) - gaps, marks, len(lines) - len(set(lines)), repeated_words(at)
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -202,8 +224,12 @@ def repeated_words(ids: np.ndarray) -> int:
     pairs = ids[:-1] * kinds + ids[1:]
     if kinds >= 1 << 21:  # three numbers would not fit 64 bits
         _, pairs = np.unique(pairs, return_inverse=True)
-    _, at, n = np.unique(pairs[:-1] * kinds + ids[2:], return_inverse=True, return_counts=True)
-    often = (n > 1)[at]
+    windows = pairs[:-1] * kinds + ids[2:]
+    ranked = np.sort(windows)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(twice):
+        return 0
+    often = _find(twice, windows)[1]
     inside = np.zeros(len(ids), bool)
     for k in range(3):
         inside[k: len(ids) - 2 + k] |= often
@@ -234,13 +260,14 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
         from pyspark import TaskContext
 
         symbols, (model, common) = Symbols(), sent.value
+        spelling = Spelling(model)
         first = TaskContext.get().partitionId() << 40
 
         def rows():
             for at, (doc_id, text, lang) in enumerate(rows_of(batches, "doc_id", "text", "lang")):
                 own = words_of(text)
                 kinds, numbers, n = np.unique(hashed(own, lang), return_inverse=True, return_counts=True)
-                yield (first + at, doc_id, lang, *base_counts(text, own, numbers), log_perplexity(model, symbols.of(text or "")),
+                yield (first + at, doc_id, lang, *base_counts(text, own, numbers), log_perplexity(spelling, symbols.of(text or "")),
                        *common.score(kinds, numbers, n))
 
         yield from batches_of(rows(), schema, at_most=500)

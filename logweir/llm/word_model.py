@@ -153,17 +153,19 @@ class Common:
         after = np.flatnonzero(numbers[:-1] >= 0)
         logp[after + 1] += self.back[numbers[after]]
         pairs, where = self.joined(numbers)
+        # Searched for once each and in their order, pairs are found sooner.
+        pairs, which, often = np.unique(pairs, return_inverse=True, return_counts=True)
         spot, known = _find(self.pairs, pairs)
         if known.any():
-            spot, where = spot[known], where[known]
-            spots, which, often = np.unique(spot, return_inverse=True, return_counts=True)
-            others = (self.pair_n[spots] - often)[which]
+            others = np.zeros(len(pairs), np.int64)
+            others[known] = self.pair_n[spot[known]] - often[known]
+            others = others[which]
             seen = others > 0
             count, where = others[seen], where[seen]
             head = self.heads[numbers[where - 1]]
             high = (count - self.discounts[np.minimum(count, 3)]) / head
             logp[where] = np.log(high + np.exp(logp[where]))
-        left = (none, none) if self.whole else np.unique(pairs[~known], return_counts=True)
+        left = (none, none) if self.whole else (pairs[~known], often[~known])
         return float(logp.sum()), kinds[~there], n[~there], *left
 
     def based(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
