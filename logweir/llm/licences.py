@@ -1,6 +1,7 @@
 """Licence scans by diagonal voting, in DataFrame functions only.
 
 Every run of ``GRAM`` consecutive words of a document is hashed and joined to the runs of the licence texts.
+Runs whose words are not as long as those of any licence's run are left out before anything else is done to them.
 A hit at word p of the document and word q of a licence votes for the diagonal p - q: an unchanged copy puts all its
 votes on one diagonal, a word put in or left out moves the rest to the next one. Votes are counted by diagonal,
 neighbouring diagonals that go on where the other ends are merged, and the spans found that way are verified.
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of digits, lower-case Latin letters and anything beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lowered. A class of what it leaves out, like the one above, takes Java's patterns six times as long.
+RAW_WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a run, and how far apart the diagonals of one span may be.
 GRAM, SHIFT = 3, 8
@@ -73,31 +76,50 @@ TEMPLATES = [
 ]
 
 
+def raw_words(text: Column) -> Column:
+    """The words of a text in order, as they are written; a null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORDS), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
+    return raw_words(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
+
+
+def lowered(word: Column) -> Column:
+    """A word with A-Z lowered; that is what ``lower`` does, in less time, to a word of ASCII alone."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def _grams(rows: DataFrame, at: str) -> DataFrame:
-    """``rows`` without ``words``: one row for each run of GRAM words with its place, its words and their hash.
+def _grams(rows: DataFrame, at: str, shapes: DataFrame | None = None) -> DataFrame:
+    """``rows`` without ``words``: one row for each run of GRAM words with its place, its shape, its words lowered and their hash.
 
-    The runs are dealt out by shifting the array against itself, so that no lambda walks over the words.
+    The shape tells the lengths of the words in bytes, which lowering leaves alone; only runs that have one of ``shapes``
+    are kept, if they are given.
     """
-    shifted = [F.slice("words", F.lit(i + 1), F.greatest(F.size("words") - i, F.lit(0))).alias(f"g{i}") for i in range(1, GRAM)]
     kept = [c for c in rows.columns if c != "words"]
-    dealt = rows.select(*kept, F.posexplode(F.arrays_zip(F.col("words").alias("g0"), *shifted)).alias(at, "run"))
-    parts = [F.col(f"run.g{i}").alias(f"g{i}") for i in range(GRAM)]
-    return dealt.select(*kept, at, *parts).where(F.col(f"g{GRAM - 1}").isNotNull()).withColumn(
-        "gram", F.xxhash64(*[f"g{i}" for i in range(GRAM)]))
+    first = F.slice("words", F.lit(1), F.greatest(F.size("words") - (GRAM - 1), F.lit(0)))
+    run = [F.coalesce(F.get("words", F.col(at) + i), F.lit("")) for i in range(GRAM)]
+    shape = F.lit(0).cast("long")
+    for word in run:
+        shape = shape * 1000 + F.octet_length(word) % 1000
+    dealt = rows.select(*kept, "words", F.posexplode(first).alias(at, "first")).withColumn("shape", shape)
+    if shapes is not None:
+        dealt = dealt.join(F.broadcast(shapes.select("shape")), "shape", "left_semi")
+    parts = [lowered(word).alias(f"g{i}") for i, word in enumerate(run)]
+    return dealt.select(*kept, at, "shape", *parts).withColumn("gram", F.xxhash64(*[f"g{i}" for i in range(GRAM)]))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> DataFrame:
-    """(template, label, needs, words, n_template) of every licence text."""
-    rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(needs).alias("needs"), F.lit(text).alias("text"))
-            for i, (label, needs, text) in enumerate(templates)]
+def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], phrases: dict[str, str] | None = None) -> DataFrame:
+    """(template, label, needs, words, exact, n_template) of every licence text, and of every phrase, which is met as it stands or not."""
+    texts = [(label, needs, text, False) for label, needs, text in templates]
+    texts += [(label, "", phrase, True) for phrase, label in (phrases or {}).items()]
+    rows = [F.struct(F.lit(i).alias("template"), *[F.lit(x).alias(n) for n, x in zip(("label", "needs", "text", "exact"), row, strict=True)])
+            for i, row in enumerate(texts)]
     table = spark.range(1).select(F.inline(F.array(*rows)))
-    return table.select("template", "label", F.split("needs", " ").alias("needs"), words_of(F.col("text")).alias("words")).withColumn(
-        "n_template", F.size("words"))
+    cut = table.withColumn("words", words_of(F.col("text"))).where(~F.col("exact") | (F.array_join("words", " ") == F.col("text")))
+    needs = F.when(F.col("exact"), F.array().cast("array<string>")).otherwise(F.split("needs", " "))
+    return cut.select("template", "label", needs.alias("needs"), "words", "exact", F.size("words").alias("n_template"))
 
 
 def _same_document(left: str, right: str) -> Column:
@@ -105,45 +127,48 @@ def _same_document(left: str, right: str) -> Column:
 
 
 def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc_id, own, template, diagonal) with the licence's words that were met there, one row a diagonal.
+    """(doc_id, own, template, exact, diagonal) with the licence's words that were met there, one row a diagonal.
 
     Only the few hundred runs of the licence texts travel to the tasks. Equal rows of one document meet the same
     words, so they count once; they are put together before anything is shuffled.
     """
-    runs = _grams(templates.select("template", "words"), "tpos").select(
-        "template", "tpos", "gram", *[F.col(f"g{i}").alias(f"t{i}") for i in range(GRAM)])
-    met = _grams(docs.select("doc_id", "own", "words"), "pos").join(F.broadcast(runs), "gram").where(
+    runs = _grams(templates.select("template", "exact", "words"), "tpos").select(
+        "template", "exact", "tpos", "shape", "gram", *[F.col(f"g{i}").alias(f"t{i}") for i in range(GRAM)])
+    met = _grams(docs.select("doc_id", "own", "words"), "pos", runs).join(F.broadcast(runs.drop("shape")), "gram").where(
         " AND ".join(f"g{i} = t{i}" for i in range(GRAM)))  # a hash alone decides nothing
-    once = met.groupBy("doc_id", "own", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos").agg(F.lit(1).alias("x"))
-    return once.groupBy("doc_id", "own", "template", "diagonal").agg(
+    once = met.groupBy("doc_id", "own", "template", "exact", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos").agg(F.lit(1).alias("x"))
+    return once.groupBy("doc_id", "own", "template", "exact", "diagonal").agg(
         F.min("tpos").alias("t_first"), F.max("tpos").alias("t_last"), F.array_sort(F.collect_list("tpos")).alias("met"))
 
 
 def spans(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Verified spans: doc_id, own, template, label, first_word, last_word, matched, coverage.
+    """Verified spans: doc_id, own, template, exact, label, first_word, last_word, matched, coverage.
 
     A diagonal joins the one before it where both are at most SHIFT apart and cover different parts of the
     licence, as a changed, added or missing word leaves them. A span holds when it has COVERAGE of the licence's
-    words, at least DENSITY of its own words are among them, and the words that tell the licence are.
+    words, at least DENSITY of its own words are among them, and the words that tell the licence are. A phrase
+    (``exact``) stands on one diagonal, with all its words.
     """
     counted = votes(docs, templates)
     order = Window.partitionBy("doc_id", "own", "template").orderBy("diagonal")
     near = F.col("diagonal") - F.lag("diagonal").over(order) <= SHIFT
-    goes_on = near & ~F.arrays_overlap("met", F.lag("met").over(order))
+    goes_on = near & ~F.col("exact") & ~F.arrays_overlap("met", F.lag("met").over(order))
     opened = counted.withColumn("opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     placed = opened.withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = placed.groupBy("doc_id", "own", "template", "span").agg(
+    merged = placed.groupBy("doc_id", "own", "template", "exact", "span").agg(
         F.min(F.col("diagonal") + F.col("t_first")).alias("first_word"),
         F.max(F.col("diagonal") + F.col("t_last") + (GRAM - 1)).alias("last_word"),
         F.array_distinct(F.flatten(F.collect_list("met"))).alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (GRAM - 1)))))
-    known = merged.withColumn("covered", covered).join(F.broadcast(templates), "template")
+    known = merged.withColumn("covered", covered).join(F.broadcast(templates.drop("exact")), "template")
     told = F.forall("needs", lambda w: F.array_contains(F.transform("covered", lambda t: F.get("words", t)), w))
     matched = F.size("covered")
     sized = known.withColumn("matched", matched).withColumn("coverage", matched / F.col("n_template"))
     length = F.col("last_word") - F.col("first_word") + 1
-    return sized.where((F.col("coverage") >= COVERAGE) & (F.col("matched") >= DENSITY * length) & told).select(
-        "doc_id", "own", "template", "label", "first_word", "last_word", "matched", "coverage")
+    holds = F.when(F.col("exact"), F.col("matched") == F.col("n_template")).otherwise(
+        (F.col("coverage") >= COVERAGE) & (F.col("matched") >= DENSITY * length) & told)
+    return sized.where(holds).select(
+        "doc_id", "own", "template", "exact", "label", "first_word", "last_word", "matched", "coverage")
 
 
 def _places(phrase: str) -> Column:
@@ -172,23 +197,31 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     ``docs`` play no part, whatever their names. A document is as large as its text, and a task holds one at a time.
     """
     phrases = PHRASES if phrases is None else phrases
-    known = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    cut = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), words_of(F.col("text")).alias("words"))
-    found = spans(cut, known).groupBy("doc_id", "own").agg(
-        F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "coverage"))).alias("spans"),
-        F.max("coverage").alias("best"))
-    places = [_places(p).alias(f"p{i}") for i, p in enumerate(phrases)]
+    # Phrases of a whole run or more are found by their runs like the licence texts, shorter ones word by word.
+    short = {p: label for p, label in phrases.items() if len(p.split(" ")) < GRAM}
+    known = template_table(
+        docs.sparkSession, TEMPLATES if templates is None else templates, {p: x for p, x in phrases.items() if p not in short})
+    text, none = F.col("text"), F.array().cast("array<string>")
+    own = F.xxhash64(F.coalesce(text, F.lit(""))).alias("own")
+    standing, span = F.col("exact"), F.struct("first_word", "last_word", "label", "coverage")
+    found = spans(docs.select("doc_id", own, raw_words(text).alias("words")), known).groupBy("doc_id", "own").agg(
+        F.array_sort(F.collect_list(F.when(~standing, span))).alias("spans"),
+        F.max(F.when(~standing, F.col("coverage"))).alias("best"),
+        F.collect_list(F.when(standing, F.col("first_word"))).alias("at"),
+        F.collect_list(F.when(standing, F.col("label"))).alias("named"))
+    cut = docs.select("doc_id", own, F.size(raw_words(text)).cast("long").alias("n_words"), (words_of(text) if short else none).alias("words"))
     joined = F.when(F.size("words") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(F.lit(""))
-    at = cut.withColumn("joined", joined).select("doc_id", "own", F.size("words").cast("long").alias("n_words"), *places)
-    starts = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))]) if phrases else F.array().cast("array<int>")
-    told = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
-    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*told)))) if told else F.array().cast("array<string>")
-    based = at.select("doc_id", "own", "n_words", starts.alias("starts"), base.alias("base"))
-    rows = based.alias("d").join(found.alias("s"), _same_document("d", "s"), "left")
-    more = F.coalesce(F.transform("spans", lambda s: s["label"]), F.array().cast("array<string>"))
+    places = [_places(p).alias(f"p{i}") for i, p in enumerate(short)]
+    counted = cut.withColumn("joined", joined).select("doc_id", "own", "n_words", *places)
+    told = [F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(short.values())]
+    rows = counted.alias("d").join(found.alias("s"), _same_document("d", "s"), "left").select(
+        "d.doc_id", "n_words", F.concat(*[f"p{i}" for i in range(len(short))], F.coalesce("at", F.array().cast("array<int>"))).alias("starts"),
+        F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*told).cast("array<string>")), F.coalesce("named", none)))).alias("base"),
+        F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), "best")
+    more = F.coalesce(F.transform("spans", lambda s: s["label"]), none)
     score = F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return rows.select(
-        "d.doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
+        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"),

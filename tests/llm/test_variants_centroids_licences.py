@@ -285,3 +285,41 @@ def test_licence_scan_equals_its_sql(spark, licensed):
 def test_licence_scan_runs_no_python_in_tasks(spark, licensed):
     plan = licences.scan(docs(spark, licensed[:2]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_raw_words_are_the_words_before_lowering(spark):
+    text = " ".join(f"{chr(c)}a{chr(c)}B" for c in [*range(0x300), 0x3A3, 0x2028, 0x212A, 0x4E2D, 0xFFFD, 0x10000, 0x10FFFF])
+    frame = docs(spark, [(1, text), (2, None)])
+    got = frame.select(licences.raw_words(frame.text), licences.words_of(frame.text)).collect()
+    raw, low = got[0]
+    assert low == plain_words(text) == [plain_words(w)[0] for w in raw] and tuple(got[1]) == ([], [])
+    frame = docs(spark, list(enumerate(raw)))
+    assert [r[0] for r in frame.orderBy("doc_id").select(licences.lowered(frame.text)).collect()] == low
+
+
+def test_phrases_of_any_length_stand_where_a_plain_version_finds_them(spark):
+    phrases = {"mit": "one", "by nc": "two", "a a a a": "four", "a a a": "three", "foo-bar baz qux": "never", "Under the mit": "never",
+               "ünder the mit": "four", "of kind k": "kind", "a  b c": "never"}
+    rows = [(1, "A a a a a, b mit BY-NC mit"), (2, "foo bar baz qux under the MIT a b c"), (3, "ünder the mit Ünder the mit"), (4, None),
+            (5, "of kind \u212a of KIND K kind k"), (6, "a a"), (6, "a a a"), (6, "a a a"), (None, "a a b a a a")]
+    got = licences.scan(docs(spark, rows), phrases, licences.TEMPLATES[:1]).collect()
+    want = []
+    for i, text in rows:
+        words = plain_words(text)
+        at = [(k, x) for p, x in phrases.items() for k in range(len(words)) if words[k:k + len(p.split(" "))] == p.split(" ")]
+        places = [k for k, _ in at]
+        want.append((i, len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["labels"] == r["base_labels"] and r["spans"] is None for r in got)
+
+
+def test_whole_texts_are_not_lowered_and_runs_of_other_lengths_are_left_out(spark, licensed):
+    frame = docs(spark, licensed)
+    plan = licences.scan(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "translate(coalesce(text" not in plan and not re.search(r"coalesce\(text#\d+, \), \[\^", plan) and "LeftSemi" in plan
+    known = licences.template_table(spark, licences.TEMPLATES[:1])
+    shapes = licences._grams(known.select("template", "words"), "tpos")
+    dealt = licences._grams(frame.select("doc_id", licences.raw_words(frame.text).alias("words")), "pos", shapes)
+    kept = dealt.where("doc_id IN (2, 12)").collect()
+    assert {tuple(len(r[f"g{i}"]) for i in range(3)) for r in kept} <= {(8, 5, 3), (5, 3, 3), (3, 3, 7)} and len(kept) == 6
